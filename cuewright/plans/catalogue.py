@@ -1,3 +1,3 @@
 """All registered queries; importing the family modules fills the registry."""
-from . import transcript_queries  # noqa: F401
+from . import timing_queries, transcript_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
