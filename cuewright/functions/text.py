@@ -69,50 +69,55 @@ def cue_clock(ms, separator: str = ",") -> Column:
         _pad(F.floor(t % 60_000 / 1000), 2), F.lit(separator), _pad(t % 1000, 3))
 
 
+# A word may also be parted after a hyphen between two letters-only halves.
+_AFTER_HYPHEN = r"(?<=\w[^0-9\W]-)(?=\w+[^0-9\W])"
+
+
+def _chunks(col) -> Column:
+    """Unbreakable pieces with the glue that precedes each: a space, or nothing."""
+    return F.flatten(F.transform(words(col), lambda w: F.transform(
+        F.split(w, _AFTER_HYPHEN), lambda p, i: rec(g=F.when(i == 0, " ").otherwise(""), w=p))))
+
+
 def wrap_cue(col, width: int = 42, lines: int = 2) -> Column:
     """Greedy word wrap to ``width``; text past the last line ends in an ellipsis.
 
-    Words longer than a line are cut at the line edge, as a terminal would.
+    One fold over the pieces keeps the finished lines and the open one; a piece
+    longer than a line is cut at the line edge.
     """
-    ellipsis = "…"
     flat = F.array_join(words(col), " ")
-    # Over-long words become width-sized pieces that need no space before them.
-    # The fold keeps (finished lines, open line, open?), one pass over the words.
-    start = rec(done=F.array().cast("array<string>"), cur=F.lit(""))
-
-    def step(acc, word):
-        spaced = F.when(acc["cur"] == "", word).otherwise(F.concat(acc["cur"], F.lit(" "), word))
-        fits = F.length(spaced) <= width
-        room = F.lit(width) - F.length(acc["cur"]) - F.when(acc["cur"] == "", 0).otherwise(1)
-        too_long = F.length(word) > width
-        # a piece of a long word fills what is left of the open line (at least one character)
-        head = F.when(room >= 1, F.concat(
-            acc["cur"], F.when(acc["cur"] == "", "").otherwise(" "),
-            F.substr(word, F.lit(1), room))).otherwise(acc["cur"])
+    none = F.array().cast("array<string>")
+
+    def step(acc, c):
+        cur, word = acc["cur"], c["w"]
+        glue = F.when(cur == "", "").otherwise(c["g"])
+        spaced = F.concat(cur, glue, word)
+        room = F.lit(width) - F.length(cur) - F.length(glue)
+        head = F.when(room >= 1, F.concat(cur, glue, F.substr(word, F.lit(1), room))).otherwise(cur)
         rest = F.when(room >= 1, F.substr(word, room + 1)).otherwise(word)
         pieces = F.filter(F.transform(
             F.sequence(F.lit(0), F.floor(F.length(rest) / width).cast("int")),
             lambda i: F.substr(rest, i * width + 1, F.lit(width))), lambda p: p != "")
         filled = F.concat(acc["done"], F.array(head), pieces)
-        n = F.size(filled)
-        return F.when(fits, rec(done=acc["done"], cur=spaced)) \
-            .when(too_long, rec(done=F.slice(filled, F.lit(1), n - 1), cur=F.element_at(filled, -1))) \
-            .otherwise(rec(done=F.concat(acc["done"], F.array(acc["cur"])), cur=word))
+        return F.when(F.length(spaced) <= width, rec(done=acc["done"], cur=spaced)) \
+            .when(F.length(word) > width, rec(done=F.slice(filled, F.lit(1), F.size(filled) - 1), cur=F.element_at(filled, -1))) \
+            .otherwise(rec(done=F.concat(acc["done"], F.array(cur)), cur=word))
 
-    folded = F.aggregate(words(col), start, step,
+    folded = F.aggregate(_chunks(col), rec(done=none, cur=F.lit("")), step,
                          lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    # The last kept line gives up words until the ellipsis fits.
-    kept = F.slice(folded, 1, lines)
-    last = F.element_at(kept, -1)
-    last_words = F.split(last, " ")
-    candidates = F.filter(
-        F.transform(F.sequence(F.lit(0), F.size(last_words)),
-                    lambda k: F.array_join(F.slice(last_words, F.lit(1), F.size(last_words) - k), " ")),
-        lambda s: F.length(s) + 1 <= width)
-    cut = F.concat(F.element_at(candidates, 1), F.lit(ellipsis))
-    shown = F.when(F.size(folded) <= lines, F.array_join(folded, "\n")) \
-        .otherwise(F.array_join(F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(cut)), "\n"))
-    return F.when(F.length(flat) <= width, flat).otherwise(shown)
+    # The last kept line gives up pieces until the ellipsis fits; if it has none left,
+    # the line above carries the ellipsis.
+    last = F.element_at(F.slice(folded, 1, lines), -1)
+    parts = _chunks(last)
+    prefixes = F.filter(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.ltrim(F.array_join(F.transform(
+        F.slice(parts, F.lit(1), F.size(parts) - k), lambda c: F.concat(c["g"], c["w"])), ""))), lambda s: F.length(s) < width)
+    above = F.slice(folded, 1, lines - 1)
+    over = F.element_at(above, -1)
+    ending = F.when(F.size(prefixes) > 0, F.concat(above, F.array(F.concat(F.get(prefixes, F.lit(0)), F.lit("…"))))) \
+        .when(F.length(over) < width, F.concat(F.slice(above, F.lit(1), F.size(above) - 1), F.array(F.concat(over, F.lit("…"))))) \
+        .otherwise(F.concat(above, F.array(F.lit("…"))))
+    shown = F.when(F.size(folded) <= lines, folded).otherwise(ending)
+    return F.when(F.length(flat) <= width, flat).otherwise(F.array_join(shown, "\n"))
 
 
 # ---- budgets ------------------------------------------------------------------

@@ -1,3 +1,3 @@
 """All registered queries; importing the family modules fills the registry."""
-from . import timing_queries, transcript_queries, translation_queries  # noqa: F401
+from . import library_queries, timing_queries, transcript_queries, translation_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -54,12 +54,11 @@ def ready_prefix(windows: DataFrame) -> DataFrame:
 
     windows: vid, window_no, until_ms, done.
     """
-    return windows.groupBy("vid").agg(
-        F.min(F.when(~F.col("done"), F.col("window_no"))).alias("_gap"), F.max("until_ms").alias("duration_ms"),
-        F.map_from_entries(F.collect_list(F.struct("window_no", "until_ms"))).alias("_ends")) \
-        .select("vid", F.when(F.col("_gap").isNull(), F.col("duration_ms"))
-                .otherwise(F.coalesce(F.try_element_at("_ends", F.col("_gap") - 1), F.lit(0).cast("bigint"))).alias("ready_ms"),
-                "duration_ms", F.col("_gap").isNull().alias("complete"))
+    gaps = windows.groupBy("vid").agg(F.min(F.when(~F.col("done"), F.col("window_no"))).alias("_gap"))
+    before = F.col("_gap").isNull() | (F.col("window_no") < F.col("_gap"))
+    return windows.join(gaps, "vid").groupBy("vid").agg(
+        F.coalesce(F.max(F.when(before, F.col("until_ms"))), F.lit(0).cast("bigint")).alias("ready_ms"),
+        F.max("until_ms").alias("duration_ms"), F.every("done").alias("complete"))
 
 
 def stream_status(prefix: DataFrame) -> DataFrame:
