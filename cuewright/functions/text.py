@@ -18,6 +18,11 @@ def rec(**fields) -> Column:
     return F.named_struct(*[part for name, value in fields.items() for part in (F.lit(name), value)])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col) -> Column:
     """Trim the full Unicode white-space set from both ends."""
     return F.btrim(col, F.lit(K.WHITESPACE))
@@ -105,19 +110,24 @@ def wrap_cue(col, width: int = 42, lines: int = 2) -> Column:
 
     folded = F.aggregate(_chunks(col), rec(done=none, cur=F.lit("")), step,
                          lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    # The last kept line gives up pieces until the ellipsis fits; if it has none left,
-    # the line above carries the ellipsis.
-    last = F.element_at(F.slice(folded, 1, lines), -1)
-    parts = _chunks(last)
-    prefixes = F.filter(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.ltrim(F.array_join(F.transform(
-        F.slice(parts, F.lit(1), F.size(parts) - k), lambda c: F.concat(c["g"], c["w"])), ""))), lambda s: F.length(s) < width)
-    above = F.slice(folded, 1, lines - 1)
-    over = F.element_at(above, -1)
-    ending = F.when(F.size(prefixes) > 0, F.concat(above, F.array(F.concat(F.get(prefixes, F.lit(0)), F.lit("…"))))) \
-        .when(F.length(over) < width, F.concat(F.slice(above, F.lit(1), F.size(above) - 1), F.array(F.concat(over, F.lit("…"))))) \
-        .otherwise(F.concat(above, F.array(F.lit("…"))))
-    shown = F.when(F.size(folded) <= lines, folded).otherwise(ending)
-    return F.when(F.length(flat) <= width, flat).otherwise(F.array_join(shown, "\n"))
+
+    def shown(all_lines):
+        above = F.slice(all_lines, 1, lines - 1)
+        over = F.element_at(above, -1)
+
+        def ending(parts):
+            # The last kept line gives up pieces until the ellipsis fits; if it has
+            # none left, the line above carries the ellipsis.
+            prefixes = F.filter(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.ltrim(F.array_join(F.transform(
+                F.slice(parts, F.lit(1), F.size(parts) - k), lambda c: F.concat(c["g"], c["w"])), ""))), lambda t: F.length(t) < width)
+            return let(prefixes, lambda p: F.when(F.size(p) > 0, F.concat(above, F.array(F.concat(F.get(p, F.lit(0)), F.lit("…")))))
+                       .when(F.length(over) < width, F.concat(F.slice(above, F.lit(1), F.size(above) - 1), F.array(F.concat(over, F.lit("…")))))
+                       .otherwise(F.concat(above, F.array(F.lit("…")))))
+
+        cut = let(_chunks(F.element_at(F.slice(all_lines, 1, lines), -1)), ending)
+        return F.array_join(F.when(F.size(all_lines) <= lines, all_lines).otherwise(cut), "\n")
+
+    return F.when(F.length(flat) <= width, flat).otherwise(let(folded, shown))
 
 
 # ---- budgets ------------------------------------------------------------------

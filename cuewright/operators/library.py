@@ -112,7 +112,7 @@ def line_at(lines: DataFrame, moments: DataFrame, step_ms: int = 10_000) -> Data
 
 def line_marks(lines: DataFrame) -> DataFrame:
     """Badges: the rate above 1.05, a rewrite, a cut. lines: dub_speedup_milli, fixed, clipped."""
-    rate = F.concat(F.format_number(F.col("dub_speedup_milli") / 1000, "0.00"), F.lit("x"))
+    rate = F.format_string("%.2fx", F.col("dub_speedup_milli") / 1000)
     return lines.withColumn("marks", F.array_compact(F.array(
         F.when(F.col("dub_speedup_milli") > 1050, rate), F.when(F.col("fixed"), "rewritten"), F.when(F.col("clipped"), "cut short"))))
 

@@ -82,9 +82,9 @@ folded AS (SELECT *, list_reduce(ps, lambda acc, x: CASE
    WHEN acc = '' THEN ltrim(x, ' ')
    WHEN length(regexp_extract(acc, '[^\n]*$')) + length(x) <= 42 THEN acc || x ELSE acc || chr(10) || ltrim(x, ' ') END, '') AS f FROM piece),
 cue AS (SELECT *, CASE WHEN length(t) <= 42 THEN t WHEN len(string_split(f, chr(10))) <= 2 THEN f
-   ELSE string_split(f, chr(10))[1] || chr(10) || CASE WHEN length(string_split(f, chr(10))[2]) <= 41 THEN string_split(f, chr(10))[2]
-     ELSE regexp_extract(string_split(f, chr(10))[2], '^(.*) [^ ]*$', 1) END || '…' END AS cue,
-   row_number() OVER (PARTITION BY vid ORDER BY id) AS n FROM folded)
+   WHEN length(l2) <= 41 THEN l1 || chr(10) || l2 || '…' WHEN contains(l2, ' ') THEN l1 || chr(10) || regexp_extract(l2, '^(.*) [^ ]*$', 1) || '…'
+   WHEN length(l1) <= 41 THEN l1 || '…' ELSE l1 || chr(10) || '…' END AS cue,
+   row_number() OVER (PARTITION BY vid ORDER BY id) AS n FROM (SELECT *, string_split(f, chr(10))[1] AS l1, string_split(f, chr(10))[2] AS l2 FROM folded))
 """
 
 
@@ -228,7 +228,7 @@ def _(spark, sf_dir):
 
 
 # ---- library table, voices, stamps ----------------------------------------------------------
-@query("s11_read_videos", f"WITH {V.VIDEOS_SQL} SELECT vid, CASE WHEN vid % 2 = 0 THEN 0 ELSE vid % 500 END AS position_s, 0 AS watched_at FROM videos")
+@query("s11_read_videos", f"WITH {V.VIDEOS_SQL} SELECT vid, CAST(CASE WHEN vid % 2 = 0 THEN 0 ELSE vid % 500 END AS DOUBLE) AS position_s, CAST(0 AS DOUBLE) AS watched_at FROM videos")
 def _(spark, sf_dir):
     """Old files lack the later columns; both generations are read together."""
     v = V.videos(spark, sf_dir)
