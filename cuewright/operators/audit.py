@@ -92,7 +92,9 @@ def audit(lines: DataFrame, narrated: DataFrame, window: tuple[int, int] | None
     faults = line_faults(_en(), X.strip(F.col("text")), X.budget_chars(F.col("start_ms"), F.col("end_ms")),
                          F.coalesce("inside", F.lit(False)), continues(_en(), F.col("_next")),
                          F.coalesce("narrated", F.lit(False)))
-    return seen.withColumn("faults", faults).where(F.size("faults") > 0).drop("_next", "inside", "narrated")
+    # Exploding the one non-empty list judges a line once, where a filter would judge it twice.
+    found = F.explode(F.filter(F.array(faults), lambda f: F.size(f) > 0))
+    return seen.withColumn("faults", found).drop("_next", "inside", "narrated")
 
 
 def polish_groups(faults: DataFrame) -> DataFrame:

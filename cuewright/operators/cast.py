@@ -49,17 +49,20 @@ def parse_cast(replies: DataFrame) -> DataFrame:
     """
     body = replies.select("vid", F.posexplode(X.split_lines(X.strip_think(F.col("content")))).alias("ord", "raw"))
     line = F.ltrim(X.strip(F.col("raw")), F.lit("-*• "))
-    fields = F.transform(F.split("line", r"\|"), X.strip)
-    rows = body.withColumn("line", line).where(F.contains("line", F.lit("|")) & (F.length("line") <= K.MAX_CAST_ROW)) \
-        .withColumn("f", fields).where(F.size("f") >= 3).withColumn("role", F.upper(F.get("f", F.lit(0)))).where(F.col("role").isin("MC", "NPC"))
-    spellings = F.filter(F.transform(F.split(F.get("f", F.lit(1)), ","), X.strip), lambda s: s != "")
-    rows = rows.withColumn("all", spellings).withColumn("en", F.get("f", F.lit(2))) \
-        .where((F.size("all") > 0) & (F.col("en") != "")) \
-        .where(~is_pronoun(F.get("all", F.lit(0)), F.col("en")) & ~is_generic(F.get("all", F.lit(0)), F.col("en")))
-    relation = F.coalesce(F.try_element_at("f", F.lit(5)), F.lit(""))
-    sex = settle_gender(F.try_element_at("f", F.lit(4)), relation, F.col("all"))
-    cast = rows.select("vid", F.col("ord").cast("bigint").alias("ord"), "role", F.slice("all", 1, K.MAX_SPELLINGS).alias("names"),
-                       "en", sex.alias("sex"), F.substring(relation, 1, K.MAX_RELATION).alias("relation"))
+    body = body.withColumn("line", line).where(F.contains("line", F.lit("|")) & (F.length("line") <= K.MAX_CAST_ROW))
+    field = lambda f, i: F.get(f, F.lit(i))
+    spellings = lambda s: F.filter(F.transform(F.split(s, ","), X.strip), lambda x: x != "")
+    fields = X.let(F.transform(F.split("line", r"\|"), X.strip), lambda f: X.rec(
+        n=F.size(f), role=F.upper(field(f, 0)), names=spellings(F.coalesce(field(f, 1), F.lit(""))), en=field(f, 2),
+        said=field(f, 3), relation=F.coalesce(field(f, 4), F.lit(""))))
+    # Exploding one record keeps the filters below from repeating the parsing.
+    rows = body.select("vid", "ord", F.explode(F.array(fields)).alias("r")).select("vid", "ord", "r.*") \
+        .where((F.col("n") >= 3) & F.col("role").isin("MC", "NPC") & (F.size("names") > 0) & (F.col("en") != ""))
+    first = F.get("names", F.lit(0))
+    rows = rows.where(~is_pronoun(first, F.col("en")) & ~is_generic(first, F.col("en")))
+    sex = settle_gender(F.col("said"), F.col("relation"), F.col("names"))
+    cast = rows.select("vid", F.col("ord").cast("bigint").alias("ord"), "role", F.slice("names", 1, K.MAX_SPELLINGS).alias("names"),
+                       "en", sex.alias("sex"), F.substring("relation", 1, K.MAX_RELATION).alias("relation"))
     return pick_lead(cast)
 
 

@@ -254,8 +254,11 @@ def fix_overlaps(lines: DataFrame, pos: str = "id") -> DataFrame:
 
 
 # ---- splitting --------------------------------------------------------------------------
-def split_points(text: Column, span_ms: Column) -> Column:
-    """Character offsets, ends included, at which an over-long line is cut."""
+def split_pieces(text: Column, span_ms: Column) -> Column:
+    """Pieces (part, a, b) of an over-long line as character ranges.
+
+    Near each even point the strongest break wins, then the closest one.
+    """
     n = F.length(text)
     parts = (F.floor(span_ms / K.MERGE_SPAN_MS) + 1).cast("int")
     reach = F.greatest(F.lit(2), F.floor(n / (parts * 5)).cast("int"))
@@ -263,18 +266,22 @@ def split_points(text: Column, span_ms: Column) -> Column:
     def cut(k):
         want = F.floor(k * n / parts).cast("int")
         lo, hi = F.greatest(F.lit(1), want - reach), F.least(n - 1, want + reach)
-        near = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
 
-        def best(chars):
-            found = F.filter(near, lambda j: F.instr(F.lit(chars), F.substr(text, j + 1, F.lit(1))) > 0)
-            return F.array_min(F.transform(found, lambda j: X.rec(d=F.abs(j - want), j=j)))["j"] + 1
+        def strongest(chars):
+            def weigh(c, i):
+                at = lambda rank: X.rec(rank=F.lit(rank), d=F.abs(lo + i - want), j=lo + i)
+                is_in = lambda group: F.instr(F.lit(group), c) > 0
+                return F.when(c == "", None).when(is_in(K.BREAK_SENTENCE), at(0)) \
+                    .when(is_in(K.BREAK_CLAUSE), at(1)).when(is_in(K.BREAK_SPACE), at(2))
+            return F.coalesce(F.array_min(F.transform(chars, weigh))["j"] + 1, want)
 
-        return F.coalesce(best(K.BREAK_SENTENCE), best(K.BREAK_CLAUSE), best(K.BREAK_SPACE), want)
+        return X.let(F.split(F.substr(text, lo + 1, F.greatest(F.lit(0), hi - lo)), ""), strongest)
 
     cuts = F.filter(F.transform(F.sequence(F.lit(1), parts - 1), cut), lambda c: (c > 0) & (c < n))
-    whole = F.array(F.lit(0), n)
-    return F.when((parts < 2) | (n < 8), whole).otherwise(
-        F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), cuts, F.array(n)))))
+    bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), cuts, F.array(n))))
+    ranges = X.let(bounds, lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: X.rec(
+        part=i, a=F.get(b, i), b=F.get(b, i + 1))))
+    return F.when((parts < 2) | (n < 8), F.array(X.rec(part=F.lit(0), a=F.lit(0), b=n))).otherwise(ranges)
 
 
 def split_long(lines: DataFrame) -> DataFrame:
@@ -285,21 +292,18 @@ def split_long(lines: DataFrame) -> DataFrame:
     span = F.col("end_ms") - F.col("start_ms")
     n = F.length("text")
     whole = (F.floor(span / K.MERGE_SPAN_MS) < 1) | (n < 8)
-    at = F.col("_b")
-    cutrows = lines.withColumn("_b", split_points(F.col("text"), span)).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.size("_b") - 2)))
-    a, b = F.element_at(at, F.col("part") + 1), F.element_at(at, F.col("part") + 2)
+    cut = lines.withColumn("_p", F.explode(split_pieces(F.col("text"), span)))
+    a, b = F.col("_p.a"), F.col("_p.b")
 
     def place(c):
         return (X.half_up((F.col("start_ms") + span * (c / n)) / 10) * 10).cast("bigint")
 
-    piece = X.strip(F.substr("text", a + 1, b - a))
-    out = cutrows.select(
+    out = cut.select(
         *[c for c in lines.columns if c not in ("start_ms", "end_ms", "text")],
-        F.col("part").cast("bigint").alias("part"),
+        F.col("_p.part").cast("bigint").alias("part"),
         F.when(whole, F.col("start_ms")).otherwise(place(a)).alias("start_ms"),
         F.when(whole, F.col("end_ms")).otherwise(place(b)).alias("end_ms"),
-        F.when(whole, F.col("text")).otherwise(piece).alias("text"))
+        F.when(whole, F.col("text")).otherwise(X.strip(F.substr("text", a + 1, b - a))).alias("text"))
     return out.where(F.col("text") != "")
 
 

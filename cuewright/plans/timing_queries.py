@@ -7,6 +7,7 @@ from ..functions import fixed as K
 from ..functions import text as X
 from ..operators import audit as Q
 from ..operators import timing as D
+from ..session import settle
 from . import views as V
 from .registry import query
 
@@ -289,7 +290,7 @@ kept AS (SELECT vid, id, new FROM after WHERE new <> '' AND new <> en
 
 
 def _repaired(spark, sf_dir):
-    faults = _audit(spark, sf_dir)
+    faults = settle(_audit(spark, sf_dir))
     k = F.col("id") % 3
     new = F.when(k == 0, F.col("text")).when(k == 1, F.concat("en", F.lit(" and"))).otherwise(F.concat(F.lit("I "), "text", F.lit(".")))
     fixes = faults.select("vid", "id", new.alias("new"))

@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal out a scan that has fewer splits than there are cores.
+
+    A big table has splits enough and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def english(text, position):
     """A deterministic 'translation' with every kind of fault, by position."""
     k = position % 8
@@ -28,7 +37,7 @@ def english(text, position):
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vid, lang, id, start_ms, end_ms, text, en, total_ms."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vid"), "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vid"), "lang", "text"), "vid")
     pieces = F.filter(F.transform(F.split("text", r"\. "), lambda p: F.trim(p)), lambda p: p != "")
     seen = F.struct(F.lit(0).cast("bigint").alias("cum"),
                     F.array().cast("array<bigint>").alias("ends"))
