@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import text as X
-from ..plans.blocks import neighbours, positions, running
+from ..plans.blocks import BLOCK, neighbours, positions, running
 from ..session import settle
 
 TIME_BUCKET_MS = 600_000
@@ -312,40 +312,78 @@ def sentence_final(text: Column) -> Column:
     return text.rlike(f"[。！？!?…][{K.WHITESPACE_CLASS}]*$")
 
 
-def merge_lines(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def _joined(done, x):
+    """Fold step over lines: extend the last group or open a new one."""
+    last = F.element_at(done, -1)
+    joins = ((x["s"] - last["e"] <= K.MERGE_GAP_MS) & (x["e"] - last["s"] <= K.MERGE_SPAN_MS)
+             & (F.length(last["t"]) + F.length(x["t"]) <= K.MERGE_CHARS) & ~sentence_final(last["t"]))
+    glue = F.when(X.has_cjk(last["t"]) | X.has_cjk(x["t"]), "").otherwise(" ")
+    longer = X.rec(i=last["i"], s=last["s"], e=x["e"], t=F.concat(last["t"], glue, x["t"]))
+    return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+
+def _groups(xs: Column) -> Column:
+    """Greedy groups of a sorted array of lines, the first line opening the first group."""
+    return F.when(F.size(xs) <= 1, xs).otherwise(F.aggregate(F.slice(xs, F.lit(2), F.size(xs)), F.slice(xs, 1, 1), _joined))
+
+
+def merge_lines(lines: DataFrame, carry: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """Join short neighbours into sentence-sized lines; ``id`` is that of the first.
 
     Whether a line may join depends on everything joined before it, but several
     reasons not to join are visible from two neighbours alone. Those hard breaks
-    cut a video into short independent runs, and only runs are folded.
+    cut a video into runs, and a run is one fold. Runs longer than ``block`` lines
+    are folded block by block (``_merge_long``).
     lines: vid, id dense by start, start_ms, end_ms, text.
     """
-    seen = neighbours(lines.select("vid", "id", "start_ms", "end_ms", "text", *carry), lambda w: {
+    seen = neighbours(lines.select("vid", "id", "start_ms", "end_ms", "text"), lambda w: {
         "_ps": F.lag("start_ms").over(w), "_pe": F.lag("end_ms").over(w), "_pt": F.lag("text").over(w)})
     hard = (F.col("_ps").isNull() | (F.col("start_ms") - F.col("_pe") > K.MERGE_GAP_MS)
             | (F.col("end_ms") - F.col("_ps") > K.MERGE_SPAN_MS)
             | (F.length("_pt") + F.length("text") > K.MERGE_CHARS) | sentence_final(F.col("_pt")))
     starts = seen.withColumn("_at", F.when(hard, F.col("id"))).drop("_ps", "_pe", "_pt")
-    runs = running(starts, {"_run": ("max", F.col("_at"))}).withColumn("_run", F.coalesce("_at", "_run"))
     item = X.rec(i=F.col("id"), s=F.col("start_ms"), e=F.col("end_ms"), t=F.col("text"))
-    grouped = runs.groupBy("vid", "_run").agg(
-        F.array_sort(F.collect_list(item)).alias("xs"), *[F.min_by(c, "id").alias(c) for c in carry])
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        joins = ((x["s"] - last["e"] <= K.MERGE_GAP_MS) & (x["e"] - last["s"] <= K.MERGE_SPAN_MS)
-                 & (F.length(last["t"]) + F.length(x["t"]) <= K.MERGE_CHARS) & ~sentence_final(last["t"]))
-        glue = F.when(X.has_cjk(last["t"]) | X.has_cjk(x["t"]), "").otherwise(" ")
-        joined = X.rec(i=last["i"], s=last["s"], e=x["e"], t=F.concat(last["t"], glue, x["t"]))
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))) \
-            .otherwise(F.concat(done, F.array(x)))
-
-    first = F.slice("xs", 1, 1)
-    folded = F.when(F.size("xs") == 1, F.col("xs")).otherwise(
-        F.aggregate(F.slice("xs", F.lit(2), F.size("xs")), first, step))
-    return grouped.select("vid", *carry, F.explode(folded).alias("r")).select(
-        "vid", F.col("r.i").alias("id"), F.col("r.s").alias("start_ms"), F.col("r.e").alias("end_ms"),
-        F.col("r.t").alias("text"), *carry)
+    runs = settle(running(starts, {"_run": ("max", F.col("_at"))}).select(
+        "vid", F.coalesce("_at", "_run").alias("_run"), item.alias("x")))
+    long_runs = runs.groupBy("vid", "_run").agg(F.count("*").alias("n")).where(F.col("n") > block).select("vid", "_run")
+    short = runs.join(long_runs, ["vid", "_run"], "left_anti").groupBy("vid", "_run").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    merged = short.select("vid", F.explode(_groups(F.col("xs"))).alias("r")) \
+        .unionByName(_merge_long(runs.join(long_runs, ["vid", "_run"], "left_semi"), block))
+    out = merged.select("vid", F.col("r.i").alias("id"), F.col("r.s").alias("start_ms"), F.col("r.e").alias("end_ms"), F.col("r.t").alias("text"))
+    return out.join(lines.select("vid", "id", *carry), ["vid", "id"]) if carry else out
+
+
+def _merge_long(runs: DataFrame, block: int) -> DataFrame:
+    """Greedy groups of very long runs, without a run ever being in one task.
+
+    A group has at most 44 characters, so at most 44 lines: the first group that
+    starts in a block starts within its first 45 lines. For each of those entries
+    a block tells where the first group of the next block would start; chaining
+    these few numbers from block to block gives every block its true entry.
+    """
+    reach = K.MERGE_CHARS
+    pos, own = F.col("x.i"), F.floor(F.col("x.i") / block).cast("bigint")
+    homes = F.array_compact(F.array(own, F.when((pos % block < reach) & (own > 0), own - 1)))
+    blocks = settle(runs.withColumn("_blk", F.explode(homes)).groupBy("vid", "_run", "_blk")
+                    .agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.get("xs", F.lit(0))["i"] < (F.col("_blk") + 1) * block))
+    end = (F.col("_blk") + 1) * block
+    first = F.get("xs", F.lit(0))["i"]
+    entries = F.when(first == F.col("_run"), F.array(first)).otherwise(F.sequence(first, first + reach))
+    after = lambda e: F.get(F.filter(_groups(F.filter("xs", lambda x: x["i"] >= e)), lambda g: g["i"] >= end), F.lit(0))["i"]
+    exits = blocks.select("vid", "_run", "_blk", F.transform(entries, lambda e: X.rec(entry=e, exit=after(e))).alias("ways"))
+    chain = exits.groupBy("vid", "_run").agg(F.array_sort(F.collect_list(X.rec(b=F.col("_blk"), ways=F.col("ways")))).alias("bs"))
+    shape = "array<struct<b:bigint,entry:bigint,exit:bigint>>"
+
+    def follow(done, b):
+        at = F.coalesce(F.element_at(done, -1)["exit"], F.col("_run"))
+        way = F.get(F.filter(b["ways"], lambda w: w["entry"] == at), F.lit(0))
+        return F.concat(done, F.array(X.rec(b=b["b"], entry=at, exit=way["exit"])))
+
+    seed = F.array(X.rec(b=F.lit(-1).cast("bigint"), entry=F.col("_run"), exit=F.col("_run"))).cast(shape)
+    found = chain.select("vid", "_run", F.explode(F.aggregate("bs", seed, follow)).alias("w")) \
+        .select("vid", "_run", F.col("w.b").alias("_blk"), F.col("w.entry").alias("_in"), F.col("w.exit").alias("_out"))
+    inside = F.filter("xs", lambda x: (x["i"] >= F.col("_in")) & (F.col("_out").isNull() | (x["i"] < F.col("_out"))))
+    return blocks.join(found, ["vid", "_run", "_blk"]).select("vid", F.explode(_groups(inside)).alias("r"))
 
 
 def renumber(lines: DataFrame, order: tuple[str, ...] = ("start_ms", "seq"), name: str = "id") -> DataFrame:

@@ -109,6 +109,14 @@ def _(spark, sf_dir):
     return _plan(spark, sf_dir).where("clipped").select("vid", "id", "clipped")
 
 
+@query("d11_flags_recomputed", V.with_lines(SLOT_SQL + "SELECT vid, id, crowded, clipped FROM plan"))
+def _(spark, sf_dir):
+    """Lines that carry flags of an earlier plan; the new plan replaces all of them."""
+    ln = V.lines(spark, sf_dir)
+    stale = ln.withColumns({"crowded": F.col("id") % 2 == 0, "clipped": F.lit(True)})
+    return D.dub_plan(stale, D.rendered(D.slots(ln), V.renders(spark, sf_dir))).select("vid", "id", "crowded", "clipped")
+
+
 @query("d12_dub_plan", V.with_lines(SLOT_SQL + f"SELECT vid, id, {micro_sql('tempo')}, CAST(limit_ms AS BIGINT) AS limit_ms, crowded, clipped FROM plan"))
 def _(spark, sf_dir):
     return _plan(spark, sf_dir).select("vid", "id", milli("tempo"), "limit_ms", "crowded", "clipped")

@@ -1,6 +1,8 @@
 """Batching, reply and cast queries over the given tables, with their DuckDB counterparts."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed as K
@@ -8,6 +10,7 @@ from ..functions import text as X
 from ..operators import batching as B
 from ..operators import cast as C
 from ..operators import replies as R
+from ..session import shared_folder
 from . import views as V
 from .registry import query
 
@@ -199,6 +202,16 @@ def _(spark, sf_dir):
     return B.bucket_state(V.requests(spark, sf_dir)).withColumn("reset_at_s", F.floor("reset_at_s").cast("bigint"))
 
 
+@query("b18_bucket_state_stream", f"WITH {V.REQUESTS_SQL}, {STATE_SQL} SELECT * FROM st")
+def _(spark, sf_dir):
+    from ..streaming.buckets import bucket_state_table
+    base = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    r = V.requests(spark, sf_dir)
+    r.repartition(4, F.xxhash64("event_id")).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return bucket_state_table(stream, base).withColumn("reset_at_s", F.floor("reset_at_s").cast("bigint"))
+
+
 @query("b19_reassign", V.with_lines(ASSIGN_SQL + f", {V.REQUESTS_SQL}, {STATE_SQL}," + """
 live AS (SELECT key_id, model, row_number() OVER (ORDER BY key_id, model) - 1 AS k, count(*) OVER () AS n FROM st WHERE exhausted IS NULL),
 dead AS (SELECT * FROM st WHERE exhausted IS NOT NULL)
