@@ -30,17 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where the setting is absent (tests, one machine) is a local one made.
     """
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="cuewright-")
-    spark.sparkContext.setCheckpointDir(folder)
+    if not (current.isDefined() and folder.rstrip("/") in current.get()):
+        sc.setCheckpointDir(folder)
     return folder
 
 

@@ -38,9 +38,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("vid", vid).where("id IS NOT NULL").select("vid", *_line_columns())
 
 
-def write_lines(lines: DataFrame, path: str, buckets: int = 64) -> None:
-    """Checkpoint lines; only the buckets that occur are replaced."""
+def write_lines(lines: DataFrame, path: str, buckets: int = 64, files: int = 16) -> None:
+    """Checkpoint lines; only the buckets that occur are replaced.
+
+    Rows are dealt to ``files`` files per bucket by line, so one huge video does
+    not become one writer, and a bucket does not become a file per task.
+    """
     lines.withColumn("bucket", F.pmod(F.xxhash64("vid"), F.lit(buckets)).cast("int")) \
+        .repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(files))) \
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
