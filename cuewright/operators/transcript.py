@@ -200,57 +200,95 @@ def drop_artefacts(lines: DataFrame) -> DataFrame:
     return lines.where((flat != "") & ~repeated & ~known).withColumn("text", X.strip(F.col("text")))
 
 
-def fix_overlaps(lines: DataFrame, pos: str = "id") -> DataFrame:
+def fix_overlaps(lines: DataFrame, pos: str = "id", block: int = BLOCK) -> DataFrame:
     """Clamp to the video, keep 0.2 s at least, and push starts past the line before.
 
     The pushed end of a line is its own end, or the end before it plus 0.4 s, so
     an upper bound of it is a running maximum. Where that bound is too low to
     reach a line, the line's end is settled without looking back; only runs of
-    lines that do overlap that deeply are folded.
+    lines that do overlap that deeply are folded, and runs longer than ``block``
+    lines block by block (``_push_long``).
     lines: vid, <pos> dense by start, start_ms, end_ms, duration_ms, ...
     """
     zero = F.lit(0).cast("bigint")
     s = F.greatest(zero, F.least("start_ms", "duration_ms"))
     clamped = lines.withColumn("_s", s).withColumn(
         "_e", F.greatest(F.col("_s") + 200, F.least("end_ms", "duration_ms")))
-    reach = F.greatest(F.col("_s") + 1, F.col("_e") - 150)
     bound = running(clamped, {"_m": ("max", F.col("_e") - F.col(pos) * 400)}, order=(pos,))
-    settled = F.col("_m").isNull() | (F.col("_m") + (F.col(pos) - 1) * 400 < reach)
+    settled = F.col("_m").isNull() | (F.col("_m") + (F.col(pos) - 1) * 400 < _threshold(F.col("_s"), F.col("_e")))
     marked = neighbours(
         bound.withColumn("_settled", settled),
         lambda w: {"_prev_ok": F.lag("_settled").over(w), "_prev_e": F.lag("_e").over(w)}, pos=pos)
     # A line after a settled one only needs that line's own end.
-    marked = marked.withColumn("_easy", F.coalesce("_prev_ok", F.lit(True))) \
-        .withColumn("_at", F.when(F.col("_easy"), F.col(pos)))
-    marked = settle(marked)
-    runs = running(marked, {"_run": ("max", F.col("_at"))}, order=(pos,)) \
-        .withColumn("_run", F.coalesce("_at", "_run"))
+    marked = settle(marked.withColumn("_easy", F.coalesce("_prev_ok", F.lit(True)))
+                    .withColumn("_at", F.when(F.col("_easy"), F.col(pos))))
     start = F.greatest("_s", "_prev_e")
     direct = F.col("_easy") & F.col("_settled")
     keep = [c for c in lines.columns if c not in ("start_ms", "end_ms")]
-    plain = runs.where(direct).select(
+    plain = marked.where(direct).select(
         *keep, start.alias("start_ms"),
         F.when((start > F.col("_s")) & (F.col("_e") <= start + 150), start + 400)
         .otherwise(F.col("_e")).alias("end_ms"))
 
-    item = F.struct(F.col(pos).alias("_i"), F.col("_s"), F.col("_e"), *[c for c in keep if c not in ("vid", pos)])
-    shape = "array<struct<_i:bigint,s:bigint,e:bigint>>"
-
-    def step(acc, x):
-        begin = F.greatest(x["_s"], acc["p"])
-        end = F.when((begin > x["_s"]) & (x["_e"] <= begin + 150), begin + 400).otherwise(x["_e"])
-        return X.rec(p=end, out=F.concat(acc["out"], F.array(
-            X.rec(_i=x["_i"], s=begin, e=end))))
-
-    first = X.rec(p=F.col("_seed"), out=F.array().cast(shape))
-    folded = runs.where(~direct).groupBy("vid", "_run").agg(
-        F.array_sort(F.collect_list(item)).alias("xs"), F.min_by("_prev_e", pos).alias("_seed")) \
-        .select("vid", F.explode(F.arrays_zip(
-            "xs", F.aggregate("xs", first, step, lambda a: a["out"]).alias("ys"))).alias("r"))
-    slow = folded.select(
-        "vid", F.col("r.ys._i").alias(pos), *[F.col(f"r.xs.{c}").alias(c) for c in keep if c not in ("vid", pos)],
-        F.col("r.ys.s").alias("start_ms"), F.col("r.ys.e").alias("end_ms"))
-    return plain.unionByName(slow)
+    item = X.rec(i=F.col(pos), s=F.col("_s"), e=F.col("_e"), row=F.struct(*keep))
+    runs = settle(running(marked, {"_run": ("max", F.col("_at"))}, order=(pos,)).where(~direct).select(
+        "vid", F.coalesce("_at", "_run").alias("_run"), F.when(F.col("_easy"), F.col("_prev_e")).alias("_seed"), item.alias("x")))
+    long_runs = runs.groupBy("vid", "_run").agg(F.count("*").alias("n")).where(F.col("n") > block).select("vid", "_run")
+    short = runs.join(long_runs, ["vid", "_run"], "left_anti").groupBy("vid", "_run").agg(
+        F.array_sort(F.collect_list("x")).alias("xs"), F.max("_seed").alias("_seed"))
+    pushed = short.select(F.explode(_pushed(F.col("xs"), F.col("_seed"))).alias("r")).unionByName(
+        _push_long(runs.join(long_runs, ["vid", "_run"], "left_semi"), block))
+    return plain.unionByName(pushed.select("r.row.*", F.col("r.s").alias("start_ms"), F.col("r.e").alias("end_ms")))
+
+
+def _threshold(s: Column, e: Column) -> Column:
+    """Ends before this leave a line's own end alone; later ones push it."""
+    return F.greatest(s + 1, e - 150)
+
+
+def _push(p: Column, x: Column) -> Column:
+    """End of a line after an end at ``p`` (NULL: nothing before it)."""
+    return F.when(p >= _threshold(x["s"], x["e"]), p + 400).otherwise(x["e"])
+
+
+def _pushed(xs: Column, seed: Column) -> Column:
+    """Sorted lines (i, s, e, row) with starts and ends settled one after another."""
+    none = F.slice(F.transform(xs, lambda x: X.rec(s=x["s"], e=x["e"])), 1, 0)
+    times = F.aggregate(xs, X.rec(p=seed, out=none), lambda acc, x: X.rec(
+        p=_push(acc["p"], x), out=F.concat(acc["out"], F.array(X.rec(s=F.greatest(x["s"], acc["p"]), e=_push(acc["p"], x))))),
+        lambda acc: acc["out"])
+    return F.zip_with(xs, times, lambda x, t: X.rec(row=x["row"], s=t["s"], e=t["e"]))
+
+
+def _push_long(runs: DataFrame, block: int) -> DataFrame:
+    """The same for very long runs, without a run ever being in one task.
+
+    A block takes an incoming end p to an outgoing one. Line k of it keeps its own
+    end iff p + 400 k is below its threshold, and from there on p is forgotten. So
+    a block is described by the few lines whose threshold less 400 k is a new
+    maximum, each with the end it leads to; past all of them p grows by 400 a line.
+    """
+    by = F.floor(F.col("x.i") / block).cast("bigint")
+    blocks = settle(runs.groupBy("vid", "_run", by.alias("_blk")).agg(
+        F.array_sort(F.collect_list("x")).alias("xs"), F.max("_seed").alias("_seed")))
+    depth = F.transform("xs", lambda x, k: X.rec(k=k, d=_threshold(x["s"], x["e"]) - k * 400))
+    nothing = F.slice(depth, 1, 0)
+    records = F.aggregate(depth, nothing, lambda acc, r: F.when(
+        (F.size(acc) == 0) | (r["d"] > F.element_at(acc, -1)["d"]), F.concat(acc, F.array(r))).otherwise(acc))
+    leads = F.transform(records, lambda r: X.rec(d=r["d"], out=F.aggregate(
+        F.slice("xs", r["k"] + 2, F.size("xs")), F.get("xs", r["k"])["e"], _push)))
+    chain = blocks.select("vid", "_run", "_seed", X.rec(b=F.col("_blk"), n=F.size("xs"), leads=leads).alias("b")) \
+        .groupBy("vid", "_run").agg(F.array_sort(F.collect_list("b")).alias("bs"), F.max("_seed").alias("_seed"))
+
+    def follow(done, b):
+        p = F.element_at(done, -1)["out"]
+        lead = F.get(F.filter(b["leads"], lambda r: p.isNull() | (r["d"] > p)), F.lit(0))
+        return F.concat(done, F.array(X.rec(b=b["b"], p=p, out=F.coalesce(lead["out"], p + b["n"] * 400))))
+
+    first = F.array(X.rec(b=F.lit(-1).cast("bigint"), p=F.col("_seed"), out=F.col("_seed")))
+    ends = chain.select("vid", "_run", F.explode(F.aggregate("bs", first, follow)).alias("w")) \
+        .select("vid", "_run", F.col("w.b").alias("_blk"), F.col("w.p").alias("_p"))
+    return blocks.join(ends, ["vid", "_run", "_blk"]).select(F.explode(_pushed(F.col("xs"), F.col("_p"))).alias("r"))
 
 
 # ---- splitting --------------------------------------------------------------------------
