@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import text as X
 from ..plans.blocks import neighbours, positions
+from ..session import settle
 from .timing import ordered_text
 
 # Fault codes, in the order in which they are reported.
@@ -26,7 +27,7 @@ def quote_carry(lines: DataFrame) -> DataFrame:
     first, third, ... leaves a quotation open, and the line after it is inside.
     """
     nb = lines.where(_en() != "").select("vid", "id", (X.quote_marks(_en()) % 2 == 1).alias("odd"))
-    ranked = positions(nb, "k", ("id",))
+    ranked = settle(positions(nb, "k", ("id",)))
     odd = positions(ranked.where("odd").select("vid", "k"), "r", ("k",)) \
         .withColumn("isle", F.col("k") - F.col("r"))
     first = odd.groupBy("vid", "isle").agg(F.min("k").alias("k0"))
@@ -99,7 +100,7 @@ def audit(lines: DataFrame, narrated: DataFrame, window: tuple[int, int] | None
 
 def polish_groups(faults: DataFrame) -> DataFrame:
     """Repair groups of twenty faulty lines, by id."""
-    return positions(faults, "_n", ("id",)).withColumn("grp", F.floor(F.col("_n") / K.REPAIR_GROUP).cast("bigint")).drop("_n")
+    return positions(settle(faults), "_n", ("id",)).withColumn("grp", F.floor(F.col("_n") / K.REPAIR_GROUP).cast("bigint")).drop("_n")
 
 
 def polish_payload(groups: DataFrame, wording: dict[str, str] | None = None) -> DataFrame:

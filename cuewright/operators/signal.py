@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import text as X
 from ..plans.blocks import neighbours, positions, running
+from ..session import settle
 
 VOICED = 1e-5
 PEAK = 0.995
@@ -136,10 +137,10 @@ def silent_runs(env: DataFrame, size: int = K.SAMPLE_RATE, level: float = VOICED
     base = F.col("block") * size
     local = env.where(n > 0).select("vid", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("r"), base.alias("b")) \
         .select("vid", (F.col("b") + F.col("r.s")).alias("s"), (F.col("b") + F.col("r.e") + 1).alias("e"))
-    ranked = positions(local, "k", ("s",), bucket=_floor_div(F.col("s"), size * 64))
+    ranked = positions(settle(local), "k", ("s",), bucket=_floor_div(F.col("s"), size * 64))
     seen = neighbours(ranked, lambda w: {"_pe": F.lag("e").over(w)}, pos="k")
     fresh = seen.withColumn("_at", F.when(F.col("_pe").isNull() | (F.col("_pe") != F.col("s")), F.col("k")))
-    runs = running(fresh, {"_m": ("max", F.col("_at"))}, order=("k",))
+    runs = running(settle(fresh), {"_m": ("max", F.col("_at"))}, order=("k",))
     return runs.groupBy("vid", F.coalesce("_at", "_m").alias("_run")).agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_run")
 
 
@@ -245,7 +246,7 @@ def quantise(signal: DataFrame) -> DataFrame:
 # ---- measuring ------------------------------------------------------------------------
 def level_floor(frames: DataFrame) -> DataFrame:
     """(vid, floor): the upper median level plus a margin, found by counting equal levels."""
-    levels = frames.groupBy("vid", "energy").agg(F.count("*").alias("c"))
+    levels = settle(frames.groupBy("vid", "energy").agg(F.count("*").alias("c")))
     ranked = running(levels, {"below": ("sum", F.col("c"))}, order=("energy",), bucket=F.floor(F.col("energy") * 100_000))
     total = frames.groupBy("vid").agg(F.count("*").alias("n"))
     middle = _floor_div(F.col("n"), 2)

@@ -22,8 +22,8 @@ def pause_points(events: DataFrame) -> DataFrame:
     events: vid, level_db, kind ('start' | 'end'), at_ms.
     """
     keys = ("vid", "level_db", "kind")
-    numbered = positions(events, "n", ("at_ms",), keys=keys,
-                         bucket=F.floor(F.col("at_ms") / TIME_BUCKET_MS))
+    numbered = settle(positions(events, "n", ("at_ms",), keys=keys,
+                                bucket=F.floor(F.col("at_ms") / TIME_BUCKET_MS)))
     starts = numbered.where("kind = 'start'").select("vid", "level_db", "n", F.col("at_ms").alias("s"))
     ends = numbered.where("kind = 'end'").select("vid", "level_db", "n", F.col("at_ms").alias("e"))
     return starts.join(ends, ["vid", "level_db", "n"]).where("e > s").select(
