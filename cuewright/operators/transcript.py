@@ -193,11 +193,14 @@ def _flat(text: Column) -> Column:
 
 def drop_artefacts(lines: DataFrame) -> DataFrame:
     """Drop known filler, empty lines, and one character repeated over a whole line."""
-    fillers = [F.lit(x) for x in K.FILLER_LINES]
-    flat = _flat(F.col("text"))
-    repeated = (F.length(flat) > 6) & (F.replace(flat, F.substring(flat, 1, 1), F.lit("")) == "")
-    known = F.array_contains(F.transform(F.array(*fillers), _flat), flat)
-    return lines.where((flat != "") & ~repeated & ~known).withColumn("text", X.strip(F.col("text")))
+    ignored = K.WHITESPACE + K.ARTEFACT_CLASS
+    fillers = ["".join(c for c in line if c not in ignored) for line in K.FILLER_LINES]
+
+    def spoken(flat):
+        repeated = (F.length(flat) > 6) & (F.replace(flat, F.substring(flat, 1, 1), F.lit("")) == "")
+        return (flat != "") & ~repeated & ~flat.isin(*fillers)
+
+    return lines.where(X.let(_flat(F.col("text")), spoken)).withColumn("text", X.strip(F.col("text")))
 
 
 def fix_overlaps(lines: DataFrame, pos: str = "id", block: int = BLOCK) -> DataFrame:
@@ -443,7 +446,7 @@ def assemble(raw: DataFrame, fixes: DataFrame | None = None, **repair) -> DataFr
         heard = apply_repairs(heard, fixes, **repair)
     else:
         heard = heard.withColumn("part", F.lit(0).cast("bigint"))
-    ranked = settle(renumber(drop_artefacts(heard), ("start_ms", "seq", "part"))
+    ranked = settle(renumber(settle(drop_artefacts(heard)), ("start_ms", "seq", "part"))
                     .select("vid", "id", "start_ms", "end_ms", "text", "duration_ms"))
     clean = fix_overlaps(ranked)
     pieces = settle(split_long(clean.withColumnRenamed("id", "seq").drop("duration_ms")))
