@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licences, lines, packing, pieces, secrets, toxicity
+from . import exact, licences, lines, near, packing, pieces, secrets, toxicity, voices
 from .common import Scratch, hex_sha
 
 QUERIES: dict = {}
@@ -119,3 +119,30 @@ def op6_toxicity(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("vid"), "toxic")
     out = toxicity.score(documents(spark, sf_dir), labels.where(~held_out(F.col("vid"))), Scratch(spark))
     return out.select(F.col("vid").alias("doc_id"), held_out(F.col("vid")).alias("held_out"), "score", F.col("toxic").alias("predicted"))
+
+
+VOICES_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT *, list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b) AS q FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(q)) AS e FROM g WHERE q > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+
+
+@query("op9_embedding_dedup", VOICES_SQL)
+def op9_embedding_dedup(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("voice"), F.col("label").alias("language"), "embedding")
+    out = voices.near_voices(rows, Scratch(spark))
+    return out.select(F.col("voice").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query("op4_minhash_dedup")
+def op4_minhash_dedup(spark, sf_dir):
+    out = near.near_classes(documents(spark, sf_dir), Scratch(spark))
+    return out.select(F.col("vid").alias("doc_id"), F.col("class_vid").alias("class_id"), "class_size", "kept")
