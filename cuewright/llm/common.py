@@ -11,6 +11,7 @@ from cuewright.session import shared_folder
 
 #: A missing vid sorts behind every other one inside the operators and comes out as NULL again.
 NO_VID = 2**63 - 1
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def transcripts(df: DataFrame) -> DataFrame:
@@ -29,7 +30,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")  # the shuffle files behind a written table are of no use any more
+        try:
+            (writer.partitionBy(*by) if by else writer).parquet(path)
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licences, lines, near, packing, pieces, secrets, toxicity, voices
+from . import exact, licences, lines, near, packing, passages, pieces, secrets, toxicity, voices
 from .common import Scratch, hex_sha
 
 QUERIES: dict = {}
@@ -146,3 +146,9 @@ def op9_embedding_dedup(spark, sf_dir):
 def op4_minhash_dedup(spark, sf_dir):
     out = near.near_classes(documents(spark, sf_dir), Scratch(spark))
     return out.select(F.col("vid").alias("doc_id"), F.col("class_vid").alias("class_id"), "class_size", "kept")
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    out = passages.shared_passages(documents(spark, sf_dir), Scratch(spark))
+    return out.withColumnsRenamed({"vid": "doc_id", "other_vid": "other_id"})
