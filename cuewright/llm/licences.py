@@ -16,7 +16,7 @@ from .spans import spans
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-GATE = r"(?i)licen[cs]|copyright|spdx|public domain|unlicense|creative commons|all rights reserved|cc[- ]by|cc0|gpl"
+GATE = r"(?i)licen[cs]|copyright|spdx|public domain|unlicense|creative commons|all rights reserved|cc[- ]by|cc0|gpl|wtfpl|no attribution"
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 
 V = r"(?:,? ?(?:version|v\.?) ?)"

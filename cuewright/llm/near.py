@@ -51,7 +51,7 @@ def _send(bits: int):
     return run
 
 
-def _count(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One hash range: in how many transcripts each shingle is."""
     bodies = pdf["body"].tolist()
     sizes = [len(b) // 6 if b is not None else 0 for b in bodies]
@@ -69,7 +69,7 @@ def _count(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(body=out)
 
 
-def _return(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _return(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One block: the levels of each transcript's shingles, in the order of their hashes."""
     head = pdf[pdf["vids"].notna()].iloc[0]
     bodies = [b for b in pdf[pdf["vids"].isna()].sort_values("range")["body"]]

@@ -76,17 +76,17 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> D
         .groupBy("blob").agg(F.first("text").alias("text"))
     none, empty = F.array().cast("array<string>"), F.array().cast(FOUND)
     if ledger is None:
-        work = fresh.select("blob", "text", none.alias("done"), empty.alias("findings"))
+        work = fresh.select("blob", "text", none.alias("was"), empty.alias("findings"))
         rest = None
     else:
         known = ledger.select("blob", "done", "findings")
         work = fresh.join(known, "blob", "left").select(
-            "blob", "text", F.coalesce("done", none).alias("done"), F.coalesce("findings", empty).alias("findings")) \
-            .where(F.size(F.array_except(_versioned(rules), F.col("done"))) > 0)
+            "blob", "text", F.coalesce("done", none).alias("was"), F.coalesce("findings", empty).alias("findings")) \
+            .where(F.size(F.array_except(_versioned(rules), F.col("was"))) > 0)
         rest = known.join(work.select("blob"), "blob", "left_anti")
-    kept = F.filter("findings", lambda f: F.exists(F.col("done"), lambda d: F.startswith(d, F.concat(f["kind"], F.lit("@")))
+    kept = F.filter("findings", lambda f: F.exists(F.col("was"), lambda d: F.startswith(d, F.concat(f["kind"], F.lit("@")))
                                                    & F.array_contains(_versioned(rules), d)))
-    new = [F.when(F.array_contains("done", f"{r.kind}@{r.version}"), empty).otherwise(_found(F.col("text"), r, n))
+    new = [F.when(F.array_contains("was", f"{r.kind}@{r.version}"), empty).otherwise(_found(F.col("text"), r, n))
            for n, r in enumerate(rules)]
     scanned = work.select("blob", _versioned(rules).alias("done"), F.array_sort(F.concat(kept, *new)).alias("findings"))
     return scanned if rest is None else rest.unionByName(scanned)
