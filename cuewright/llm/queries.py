@@ -45,7 +45,7 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 @query("op1_secret_scan", SECRETS_SQL)
 def op1_secret_scan(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    ledger = secrets.scan(docs)
+    ledger = Scratch(spark).keep(secrets.scan(docs), "ledger")  # written first: the join after it can then split a hot text
     found = secrets.report(docs, ledger)
     base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))
 
