@@ -8,7 +8,9 @@ and the trellis before it is dropped.
 from __future__ import annotations
 
 import re
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +18,11 @@ from pyspark.sql import functions as F
 from .common import transcripts
 
 SPACE = "▁"
+SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 CHECK_EVERY = 64      # positions between two looks for a common boundary
-REMEMBER = 500_000    # segments a worker remembers; later ones are encoded each time
+REMEMBER = 700_000    # segments a worker remembers; later ones are encoded each time
+NO_PATH = -1e300
+MISSING = object()
 
 
 class PieceModel:
@@ -31,6 +36,10 @@ class PieceModel:
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.text = [model.id_to_piece(i) for i in range(size)]
         self.ids = {self.text[i]: (model.get_score(i), i) for i in plain}
+        # every beginning of a piece; None where it is no piece itself
+        self.table: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
+        self.table.update(self.ids)
+        self.pairs = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
@@ -38,39 +47,48 @@ class PieceModel:
         self.fallback = min(s for s, _ in self.ids.values()) - 10.0
         # no piece has a space mark after another character: every path then ends before the mark
         self.breaks = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.raw = [bytes((self.byte_of[i],)) if i in self.byte_of else self.text[i].encode() for i in range(size)]
+        self.memory: dict[str, bytes] = {}
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best path; ties go to the longer last piece."""
-        ids, longest, fallback = self.ids, self.longest, self.fallback
+        get, longest = self.table.get, self.longest
         out: list[int] = []
-        base = 0                      # committed up to here
-        best, back = [0.0], [(0, -1)]  # score, (start of the last piece, its id), from base on
-        for end in range(1, len(text) + 1):
-            top, start, piece = None, 0, -1
-            for i in range(max(base, end - longest), end):
-                hit = ids.get(text[i:end])
-                if hit is not None:
-                    score = best[i - base] + hit[0]
-                    if top is None or score > top:
-                        top, start, piece = score, i, hit[1]
-            if top is None or (end - 1 >= base and text[end - 1] not in ids and best[end - 1 - base] + fallback > top):
-                top, start, piece = best[end - 1 - base] + fallback, end - 1, -1
-            best.append(top)
-            back.append((start, piece))
-            if end - base >= CHECK_EVERY and end % longest == 0:
-                common = self._common(back, base, end)
+        base, n = 0, len(text)          # committed up to base
+        best, back = [0.0], [(0, -1)]   # by position from base on: score, (start of the last piece, its id)
+        for i in range(n):
+            at = i - base
+            if len(best) <= at + longest:
+                best += [NO_PATH] * (CHECK_EVERY + longest)
+                back += [(-1, -1)] * (CHECK_EVERY + longest)
+            here = best[at]
+            for size in range(1, min(longest, n - i) + 1):
+                hit = get(text[i:i + size], MISSING)
+                if hit is MISSING or hit is None:
+                    if size == 1 and here + self.fallback > best[at + 1]:
+                        best[at + 1], back[at + 1] = here + self.fallback, (i, -1)
+                    if hit is None:     # only the beginning of pieces
+                        continue
+                    break
+                score = here + hit[0]
+                if score > best[at + size]:
+                    best[at + size], back[at + size] = score, (i, hit[1])
+            if i - base >= CHECK_EVERY and i % longest == 0:
+                common = self._common(back, base, i + 1)
                 if common > base:
                     out += self._path(text, back, base, common)
                     shift = best[common - base]
-                    best = [s - shift for s in best[common - base:]]
+                    best = [s - shift if s > NO_PATH else s for s in best[common - base:]]
                     back = back[common - base:]
                     base = common
-        return out + self._path(text, back, base, len(text))
+        return out + self._path(text, back, base, n)
 
-    def _common(self, back, base: int, end: int) -> int:
-        """The last boundary that the paths of all positions still open run through."""
-        heads = set(range(max(base, end - self.longest + 1), end + 1))
+    def _common(self, back, base: int, first: int) -> int:
+        """The last boundary on the paths to every position from `first` on that has one by now.
+
+        Later pieces start at `first` or behind it, so every complete path runs through one of these.
+        """
+        heads = {p for p in range(first, base + len(back)) if back[p - base][0] >= 0}
         while len(heads) > 1:
             last = max(heads)
             heads.remove(last)
@@ -89,26 +107,39 @@ class PieceModel:
             end = start
         return rev[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; white space is kept, one space mark is put in front (none in an empty text)."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as 32-bit numbers; white space is kept, one space mark is put in front (none in an empty text)."""
         if not text:
-            return []
+            return b""
         marked = SPACE + text.replace(" ", SPACE)
-        segments = re.findall(f"{SPACE}+[^{SPACE}]*", marked) if self.breaks else [marked]
-        out: list[int] = []
+        segments = SEGMENT.findall(marked) if self.breaks else [marked]
+        memory = self.memory
         for s in segments:
-            ids = self.memory.get(s)
+            if s not in memory:
+                break
+        else:
+            return b"".join([memory[s] for s in segments])
+        out = []
+        for s in segments:
+            ids = memory.get(s)
             if ids is None:
-                ids = tuple(self.viterbi(s))
-                if len(self.memory) < REMEMBER and len(s) <= 32:
-                    self.memory[s] = ids
-            out.extend(ids)
-        return out
+                ids = self._fresh(s)
+                if len(memory) < REMEMBER and len(s) <= 32:
+                    memory[s] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _fresh(self, segment: str) -> bytes:
+        """Ids of a new segment, cut where no piece joins two neighbours: every path ends there."""
+        cuts = [k for k in range(1, len(segment)) if segment[k - 1:k + 1] not in self.pairs]
+        if not cuts:
+            return array("i", self.viterbi(segment)).tobytes()
+        parts = [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)], strict=True)]
+        return b"".join([self.memory.get(p) or array("i", self.viterbi(p)).tobytes() for p in parts])
 
     def decode(self, ids) -> str:
         """The text of the ids; invalid UTF-8 becomes U+FFFD."""
-        raw = b"".join(bytes((self.byte_of[i],)) if i in self.byte_of else self.text[i].encode() for i in ids)
-        text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -132,9 +163,10 @@ def encode(rows: DataFrame, *, model: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("vid"), pa.array([m.encode(t) for t in part.column("text").to_pylist()], pa.list_(pa.int32()))],
-                    ["vid", "ids"])
+                ids = [m.encode(t) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("vid"), lists], ["vid", "ids"])
     return transcripts(rows).mapInArrow(run, "vid bigint, ids array<int>")
 
 
@@ -147,5 +179,6 @@ def decode(rows: DataFrame, *, model: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids = part.column("ids")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vid"), ids, pa.array([m.decode(x or ()) for x in ids.to_pylist()], pa.string())], ["vid", "ids", "text"])
+                    [part.column("vid"), ids, pa.array([m.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in ids], pa.string())],
+                    ["vid", "ids", "text"])
     return rows.select(F.col("vid").cast("bigint").alias("vid"), "ids").mapInArrow(run, "vid bigint, ids array<int>, text string")
