@@ -123,8 +123,12 @@ def accept_repairs(lines: DataFrame, faults: DataFrame, fixes: DataFrame, narrat
     """Lines with accepted rewrites applied and ``fixed`` set.
 
     A rewrite must have strictly fewer faults, judged alone: no neighbours, no
-    open quotation. fixes: vid, id, new.
+    open quotation. fixes: vid, id, new and, if replies of several groups are at hand, batch: then a
+    group's reply counts only for the group's own lines. A line takes one rewrite at most.
     """
+    if "batch" in fixes.columns:
+        fixes = fixes.join(polish_groups(faults.where(F.size("faults") > 0)).select("vid", "id", F.col("grp").alias("batch")), ["vid", "batch", "id"])
+    fixes = fixes.groupBy("vid", "id").agg(F.max("new").alias("new"))
     tried = faults.select("vid", "id", "faults", "text", "start_ms", "end_ms", "en").join(fixes, ["vid", "id"]) \
         .join(narrated, "vid", "left").withColumn("new", X.strip(F.coalesce("new", F.lit(""))))
     after = line_faults(F.col("new"), X.strip(F.col("text")), X.budget_chars(F.col("start_ms"), F.col("end_ms")),

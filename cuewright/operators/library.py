@@ -19,13 +19,18 @@ def create_videos(new: DataFrame, now) -> DataFrame:
 
 
 def update_videos(videos: DataFrame, patch: DataFrame, now) -> DataFrame:
-    """Patched fields replace old ones and stamp ``updated_at``; NULL leaves a field alone."""
-    fields = [c for c in patch.columns if c != "vid"]
-    p = patch.select("vid", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_hit"))
+    """Patched fields replace old ones and stamp ``updated_at``.
+
+    ``patch``: one row per video. NULL leaves a field alone, unless the optional array column
+    ``set_fields`` names it: then the field is cleared.
+    """
+    fields = [c for c in patch.columns if c not in ("vid", "set_fields")]
+    named = F.col("set_fields") if "set_fields" in patch.columns else F.array().cast("array<string>")
+    p = patch.select("vid", *[F.col(c).alias(f"_{c}") for c in fields], F.coalesce(named, F.array().cast("array<string>")).alias("_set"), F.lit(True).alias("_hit"))
     out = videos.join(p, "vid", "left")
-    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in fields}) \
+    return out.withColumns({c: F.when(F.array_contains("_set", c), F.col(f"_{c}")).otherwise(F.coalesce(f"_{c}", c)) for c in fields}) \
         .withColumn("updated_at", F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("updated_at"))) \
-        .drop("_hit", *[f"_{c}" for c in fields])
+        .drop("_hit", "_set", *[f"_{c}" for c in fields])
 
 
 def get_video(videos: DataFrame, vid) -> DataFrame:

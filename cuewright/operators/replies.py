@@ -64,17 +64,24 @@ def parse_repair(replies: DataFrame) -> DataFrame:
 
 
 def apply_reply(lines: DataFrame, parsed: DataFrame, answered: DataFrame) -> DataFrame:
-    """Write replies to the lines of answered batches; ids a reply lacks become blank."""
+    """Write replies to the lines of answered batches; ids a reply lacks become blank.
+
+    An id that a reply gives for a line of another batch is not taken.
+    """
     size = K.BATCH_LINES
     got = lines.withColumn("batch", F.floor(F.col("id") / size).cast("bigint")) \
         .join(answered.select("vid", "batch", F.lit(True).alias("_a")), ["vid", "batch"], "left") \
-        .join(parsed.select("vid", "id", F.col("en").alias("_new")), ["vid", "id"], "left")
+        .join(parsed.select("vid", "batch", "id", F.col("en").alias("_new")), ["vid", "batch", "id"], "left")
     return got.withColumn("en", F.when(F.col("_a"), X.strip(F.coalesce("_new", F.lit("")))).otherwise(F.col("en"))).drop("_a", "_new", "batch")
 
 
 def apply_edits(lines: DataFrame, edits: DataFrame) -> DataFrame:
-    """Replace edited text; ``changed`` marks lines whose text really differed."""
-    got = lines.join(edits.select("vid", "id", F.col("en").alias("_new")), ["vid", "id"], "left")
+    """Replace edited text; ``changed`` marks lines whose text really differed.
+
+    Of several edits of one line the last wins: by ``at`` where the edits have it, else by text.
+    """
+    last = F.max_by("en", "at") if "at" in edits.columns else F.max("en")
+    got = lines.join(edits.groupBy("vid", "id").agg(last.alias("_new")), ["vid", "id"], "left")
     changed = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("en"))
     return got.withColumn("changed", changed) \
         .withColumn("en", F.when(F.col("changed"), X.strip(F.col("_new"))).otherwise(F.col("en"))).drop("_new")

@@ -17,7 +17,6 @@ from ..session import settle
 
 VOICED = 1e-5
 PEAK = 0.995
-DEEP = 64          # clips over one block above which samples, not arrays, are summed
 _DOUBLES = "array<double>"
 
 
@@ -30,35 +29,40 @@ def _floor_div(a: Column, b: Column | int) -> Column:
 
 
 # ---- mixing ---------------------------------------------------------------------
-def mix_timeline(clips: DataFrame, size: int = K.SAMPLE_RATE) -> DataFrame:
+def mix_timeline(clips: DataFrame, size: int = K.SAMPLE_RATE, tracks: DataFrame | None = None) -> DataFrame:
     """Add clips (vid, start_sample, samples) at exact offsets; spill goes to the next block.
 
-    A block usually lies under a few clips, whose pieces are collected and added
-    as arrays. Blocks under more than 64 clips are added sample by sample instead,
-    combined before the shuffle, so a pile of clips never meets in one task.
+    A negative start counts as 0. Every block of a track is there, silent ones too: up to the last
+    clip's end, or, where ``tracks`` gives (vid, length), up to that length; what lies beyond goes.
+    The clips over a block are counted first and dealt to one shard for every 32 of them; shards are
+    summed as arrays, then the shards of a block, whatever the depth.
     """
-    n = F.size("samples")
-    blocks = F.sequence(_floor_div(F.col("start_sample"), size), _floor_div(F.col("start_sample") + n - 1, size))
-    spread = clips.where(n > 0).select("vid", "start_sample", "samples", F.explode(blocks).alias("block"))
+    clips = clips.where(F.size("samples") > 0).select("vid", F.greatest(F.col("start_sample"), F.lit(0)).cast("bigint").alias("start_sample"), "samples")
+    end = F.col("start_sample") + F.size("samples")
+    if tracks is None:
+        lengths = clips.groupBy("vid").agg(F.max(end).alias("length"))
+    else:
+        lengths = tracks.select("vid", F.col("length").cast("bigint").alias("length"))
+    every = lengths.where("length > 0").select("vid", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), _floor_div(F.col("length") - 1, size))).alias("block"))
+    blocks = F.sequence(_floor_div(F.col("start_sample"), size), _floor_div(end - 1, size))
+    spread = clips.select("vid", "start_sample", "samples", F.explode(blocks).alias("block"))
     shift = F.col("start_sample") - F.col("block") * size
     lead = F.greatest(F.lit(0).cast("bigint"), shift).cast("int")
     skip = F.greatest(F.lit(0).cast("bigint"), -shift).cast("int")
-    piece = F.slice("samples", skip + 1, F.least(F.lit(size) - lead, F.size("samples") - skip))
-    pieces = spread.select("vid", "block", lead.alias("lead"), piece.cast(_DOUBLES).alias("piece"))
-
-    zeros = F.array_repeat(F.lit(0.0), size)
-    depth = spread.groupBy("vid", "block").agg(F.count("*").alias("n"))
-    tagged = pieces.join(depth, ["vid", "block"])
-    pad = F.concat(F.array_repeat(F.lit(0.0), F.col("lead")), "piece",
-                   F.array_repeat(F.lit(0.0), F.lit(size) - F.col("lead") - F.size("piece")))
-    shallow = tagged.where(F.col("n") <= DEEP).groupBy("vid", "block").agg(F.aggregate(
-        F.collect_list(pad), zeros, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("samples"))
-    single = tagged.where(F.col("n") > DEEP).select("vid", "block", "lead", F.posexplode("piece").alias("i", "x")) \
-        .groupBy("vid", "block", (F.col("lead") + F.col("i")).alias("i")).agg(F.sum("x").alias("x"))
-    deep = single.groupBy("vid", "block").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m")) \
-        .select("vid", "block", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(
-            F.try_element_at("m", i), F.lit(0.0))).alias("samples"))
-    return shallow.unionByName(deep)
+    piece = F.slice("samples", skip + 1, F.least(F.lit(size) - lead, F.size("samples") - skip)).cast(_DOUBLES)
+    pad = F.concat(F.array_repeat(F.lit(0.0), lead), piece, F.array_repeat(F.lit(0.0), F.lit(size) - lead - F.size(piece)))
+    depth = clips.select("vid", F.explode(blocks).alias("block")).groupBy("vid", "block").agg(F.ceil(F.count("*") / 32).cast("int").alias("shards"))
+    dealt = spread.join(depth, ["vid", "block"]).select(
+        "vid", "block", pad.alias("pad"), F.pmod(F.xxhash64("start_sample", "samples"), F.col("shards")).alias("shard"))
+
+    def total(column):
+        return F.aggregate(F.collect_list(column), F.array_repeat(F.lit(0.0), size), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    sums = dealt.groupBy("vid", "block", "shard").agg(total("pad").alias("part")).groupBy("vid", "block").agg(total("part").alias("sum"))
+    out = every.join(sums, ["vid", "block"], "left")
+    filled = F.coalesce("sum", F.array_repeat(F.lit(0.0), size))
+    if tracks is not None:  # silence after the track's end
+        filled = F.transform(filled, lambda x, i: F.when(F.col("block") * size + i < F.col("length"), x).otherwise(0.0))
+    return out.select("vid", "block", filled.alias("samples"))
 
 
 def peak_limit(signal: DataFrame) -> DataFrame:

@@ -141,17 +141,21 @@ def ordered_text(order: str, value: Column, separator: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["t"]), separator)
 
 
-def dub_stamp(lines: DataFrame, options: list) -> DataFrame:
+STAMP_BLOCK = 4096
+
+
+def dub_stamp(lines: DataFrame, options: list, block: int = STAMP_BLOCK) -> DataFrame:
     """Digest of the settings and of every line's id, start and text.
 
-    Lines are digested in blocks and the block digests once more, so no task holds
-    a whole transcript; up to one block it is the digest of the lines themselves.
+    Lines are digested in blocks of ``block`` and the ordered block digests once more, for every
+    length, so no task holds a whole transcript. ``block`` is part of the stamp's format: it does
+    not follow the block size that work is cut by.
     """
-    blocks = lines.groupBy("vid", F.floor(F.col("id") / BLOCK).alias("b")).agg(ordered_text(
+    blocks = lines.groupBy("vid", F.floor(F.col("id") / block).alias("b")).agg(ordered_text(
         "id", F.concat_ws(":", F.col("id").cast("string"), F.col("start_ms").cast("string"), F.coalesce("en", F.lit(""))), "\x1f").alias("t")) \
         .select("vid", "b", X.digest(F.col("t")).alias("d"))
-    whole = blocks.groupBy("vid").agg(ordered_text("b", F.col("d"), "\x1f").alias("ds"), F.count("*").alias("n"))
-    inner = F.when(F.col("n") == 1, F.col("ds")).otherwise(X.digest(F.col("ds")))
+    whole = blocks.groupBy("vid").agg(ordered_text("b", F.col("d"), "\x1f").alias("ds"))
+    inner = X.digest(F.col("ds"))
     return whole.select("vid", X.digest(*[F.lit(o) for o in options], inner).alias("stamp"))
 
 

@@ -305,7 +305,7 @@ def split_pieces(text: Column, span_ms: Column) -> Column:
     reach = F.greatest(F.lit(2), F.floor(n / (parts * 5)).cast("int"))
 
     def cut(k):
-        want = F.floor(k * n / parts).cast("int")
+        want = F.floor(k * (n / parts)).cast("int")
         lo, hi = F.greatest(F.lit(1), want - reach), F.least(n - 1, want + reach)
 
         def strongest(chars):

@@ -317,11 +317,12 @@ def _(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast(BIG) for c in ("created_at", "updated_at")})
 
 
-@query("l02_update_videos", VID + """ SELECT vid, CASE WHEN vid % 5 = 0 THEN 'ready' ELSE status END AS status, title,
+@query("l02_update_videos", VID + """ SELECT vid, CASE WHEN vid % 5 = 0 THEN 'ready' ELSE status END AS status, CASE WHEN vid % 10 = 0 THEN NULL ELSE title END AS title,
   CASE WHEN vid % 5 = 0 THEN 1700000001 ELSE created_at END AS updated_at FROM videos""")
 def _(spark, sf_dir):
     v = V.videos(spark, sf_dir).select("vid", "status", "title", F.col("created_at").alias("updated_at"))
-    patch = v.where("vid % 5 = 0").select("vid", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("title"))
+    patch = v.where("vid % 5 = 0").select("vid", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("title"),
+                                           F.when(F.col("vid") % 10 == 0, F.array(F.lit("title"))).alias("set_fields"))
     return L.update_videos(v, patch, 1700000001).withColumn("updated_at", F.col("updated_at").cast(BIG))
 
 

@@ -36,11 +36,11 @@ def rnd(x, digits=5):
 
 def _clips(spark, sf_dir):
     e = V.table(spark, sf_dir, "embeddings")
-    return e.select(F.floor(F.col("vec_id") / 20).cast("bigint").alias("vid"), F.col("vec_id").alias("id"), (F.col("vec_id") % 20 * 50).alias("start_sample"), F.col("embedding").alias("samples"))
+    return e.select(F.floor(F.col("vec_id") / 20).cast("bigint").alias("vid"), F.col("vec_id").alias("id"), (F.col("vec_id") % 20 * 50 - 20 + F.when(F.col("vec_id") % 20 >= 10, 640).otherwise(0)).alias("start_sample"), F.col("embedding").alias("samples"))
 
 
-@query("m01_mix_timeline", f"""WITH c AS (SELECT vec_id // 20 AS vid, vec_id % 20 * 50 + i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)),
-s AS (SELECT vid, pos, sum(x) AS x FROM c GROUP BY ALL), b AS (SELECT DISTINCT vid, pos // 64 AS block FROM s), g AS (SELECT vid, block, unnest(range(64)) AS i FROM b)
+@query("m01_mix_timeline", f"""WITH c AS (SELECT vec_id // 20 AS vid, greatest(0, vec_id % 20 * 50 - 20 + CASE WHEN vec_id % 20 >= 10 THEN 640 ELSE 0 END) + i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)),
+s AS (SELECT vid, pos, sum(x) AS x FROM c GROUP BY ALL), b AS (SELECT vid, unnest(range(max(pos) // 64 + 1)) AS block FROM s GROUP BY vid), g AS (SELECT vid, block, unnest(range(64)) AS i FROM b)
 SELECT g.vid, g.block, g.i, {rnd('coalesce(x, 0)')} AS x FROM g LEFT JOIN s ON s.vid = g.vid AND s.pos = g.block * 64 + g.i""")
 def _(spark, sf_dir):
     return flat(M.mix_timeline(_clips(spark, sf_dir), SIZE))

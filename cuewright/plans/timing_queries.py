@@ -143,19 +143,20 @@ def _(spark, sf_dir):
     return D.dub_stats(_plan(spark, sf_dir))
 
 
-STAMP_SQL = """digests AS (SELECT vid, substr(sha1(string_agg(id || ':' || start_ms || ':' || en, chr(31) ORDER BY id)), 1, 16) AS d FROM lines GROUP BY vid),
+STAMP_SQL = """parts AS (SELECT vid, id // 16 AS b, substr(sha1(string_agg(id || ':' || start_ms || ':' || en, chr(31) ORDER BY id)), 1, 16) AS p FROM lines GROUP BY vid, b),
+digests AS (SELECT vid, substr(sha1(string_agg(p, chr(31) ORDER BY b)), 1, 16) AS d FROM parts GROUP BY vid),
 stamps AS (SELECT vid, substr(sha1('voice|0|0|0|1.7|0|||' || d), 1, 16) AS stamp FROM digests)"""
 OPTIONS = ["voice", 0, 0, 0, 1.7, 0, None, None]
 
 
 @query("d16_dub_stamp", V.with_lines(STAMP_SQL + " SELECT vid, stamp FROM stamps"))
 def _(spark, sf_dir):
-    return D.dub_stamp(V.lines(spark, sf_dir), OPTIONS)
+    return D.dub_stamp(V.lines(spark, sf_dir), OPTIONS, 16)
 
 
 @query("d17_reuse_track", V.with_lines(STAMP_SQL + " SELECT vid, stamp FROM stamps WHERE vid % 4 < 2"))
 def _(spark, sf_dir):
-    now = D.dub_stamp(V.lines(spark, sf_dir), OPTIONS).withColumn("size_bytes", F.col("vid") * 10)
+    now = D.dub_stamp(V.lines(spark, sf_dir), OPTIONS, 16).withColumn("size_bytes", F.col("vid") * 10)
     past = now.withColumn("stamp", F.when(F.col("vid") % 4 == 3, "other").otherwise(F.col("stamp"))) \
         .withColumn("size_bytes", F.when(F.col("vid") % 4 == 2, -1).otherwise(F.col("size_bytes"))).withColumn("stage", F.lit("dub"))
     return D.reuse_track(past, now).select("vid", "stamp")

@@ -15,7 +15,7 @@ STRIP = "'" + K.WHITESPACE + "'"
 
 def _pause_events(spark, sf_dir):
     """Pauses after every fifth line; how deep they are depends on the video."""
-    ln = V.lines(spark, sf_dir).where("id % 5 = 0 AND vid % 4 < 3")
+    ln = V.lines(spark, sf_dir).where("id % 5 = 0")
     level = F.when(F.col("vid") % 4 == 0, F.array(F.lit(-32), F.lit(-26))) \
         .when(F.col("vid") % 4 == 1, F.array(F.lit(-26), F.lit(-20))).otherwise(F.array(F.lit(-20)))
     end_at = F.col("end_ms") + F.when(F.col("id") % 3 == 0, -1).otherwise(500)
@@ -27,7 +27,7 @@ def _pause_events(spark, sf_dir):
 
 PAUSES_SQL = """
 ev AS (SELECT vid, unnest(CASE vid % 4 WHEN 0 THEN [-32, -26] WHEN 1 THEN [-26, -20] ELSE [-20] END) AS level_db,
-   end_ms AS a, end_ms + CASE WHEN id % 3 = 0 THEN -1 ELSE 500 END AS b FROM lines WHERE id % 5 = 0 AND vid % 4 < 3),
+   end_ms AS a, end_ms + CASE WHEN id % 3 = 0 THEN -1 ELSE 500 END AS b FROM lines WHERE id % 5 = 0),
 sa AS (SELECT vid, level_db, a, row_number() OVER (PARTITION BY vid, level_db ORDER BY a) AS k FROM ev),
 sb AS (SELECT vid, level_db, b, row_number() OVER (PARTITION BY vid, level_db ORDER BY b) AS k FROM ev),
 points AS (SELECT sa.vid, CAST(sa.level_db AS BIGINT) AS level_db, (a + b) // 2 AS at_ms FROM sa
@@ -309,7 +309,7 @@ def _split_sql(src: str, out: str) -> str:
             lambda j: instr('{chars}', substr(text, j + 1, 1)) > 0), lambda j: abs(j - want) * 1000000 + j)) % 1000000 + 1)"""
     return f"""
 {out}_p AS (SELECT *, length(text) AS n, end_ms - start_ms AS span, (end_ms - start_ms) // 7000 + 1 AS parts FROM {src}),
-{out}_k AS (SELECT *, CAST(floor(k * n / parts) AS BIGINT) AS want, greatest(2, n // (parts * 5)) AS reach
+{out}_k AS (SELECT *, CAST(floor(k * (n::DOUBLE / parts)) AS BIGINT) AS want, greatest(2, n // (parts * 5)) AS reach
   FROM (SELECT *, unnest(range(1, parts)) AS k FROM {out}_p WHERE parts >= 2 AND n >= 8)),
 {out}_c AS (SELECT vid, seq, coalesce({best(K.BREAK_SENTENCE)}, {best(K.BREAK_CLAUSE)}, {best(K.BREAK_SPACE)}, want) AS c, n FROM {out}_k),
 {out}_b AS (SELECT DISTINCT vid, seq, c FROM {out}_c WHERE c > 0 AND c < n
@@ -324,10 +324,10 @@ def _split_sql(src: str, out: str) -> str:
   WHERE b IS NOT NULL AND (whole OR trim(substr(text, a + 1, b - a), {STRIP}) <> ''))"""
 
 
-@query("t19_split_long", V.with_lines("src AS (SELECT vid, id AS seq, start_ms, end_ms, text FROM lines WHERE end_ms > start_ms),"
+@query("t19_split_long", V.with_lines("src AS (SELECT vid, id AS seq, start_ms, end_ms, text FROM lines),"
        + _split_sql("src", "cutup") + " SELECT vid, seq, part, start_ms, end_ms, text FROM cutup"))
 def _(spark, sf_dir):
-    ln = V.lines(spark, sf_dir).where("end_ms > start_ms").select("vid", F.col("id").alias("seq"), "start_ms", "end_ms", "text")
+    ln = V.lines(spark, sf_dir).select("vid", F.col("id").alias("seq"), "start_ms", "end_ms", "text")
     return T.split_long(ln)
 
 

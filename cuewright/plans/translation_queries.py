@@ -76,14 +76,15 @@ def _(spark, sf_dir):
 
 
 @query("b06_pending_batches", sql(f"""SELECT vid, batch, count(*) FILTER (WHERE trim(en, {STRIP}) = '') AS blank, min(id) AS lo, max(id) + 1 AS hi
-  FROM grid WHERE NOT (vid % 3 = 0 AND trim(en, {STRIP}) = '') GROUP BY vid, batch HAVING count(*) FILTER (WHERE trim(en, {STRIP}) = '') > 0"""))
+  FROM (SELECT * REPLACE (CASE WHEN vid % 3 = 0 AND trim(en, {STRIP}) = '' THEN 'done' ELSE en END AS en) FROM grid) GROUP BY vid, batch HAVING count(*) FILTER (WHERE trim(en, {STRIP}) = '') > 0"""))
 def _(spark, sf_dir):
-    return B.pending_batches(V.lines(spark, sf_dir).where(~((F.col("vid") % 3 == 0) & B.blank(F.col("en")))))
+    return B.pending_batches(V.lines(spark, sf_dir).withColumn(
+        "en", F.when((F.col("vid") % 3 == 0) & B.blank(F.col("en")), "done").otherwise(F.col("en"))))
 
 
-@query("b07_context_lines", sql("SELECT vid, id, before, after FROM ctx WHERE id % 30 = 0"))
+@query("b07_context_lines", sql("SELECT vid, id, before, after FROM ctx"))
 def _(spark, sf_dir):
-    return B.context_lines(V.lines(spark, sf_dir)).where("id % 30 = 0").select("vid", "id", "before", "after")
+    return B.context_lines(V.lines(spark, sf_dir)).select("vid", "id", "before", "after")
 
 
 @query("b08_payload", sql("SELECT vid, batch, payload FROM pay"))
@@ -135,8 +136,10 @@ def _(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    """Answers to every line but each eleventh; every eighth is blank already."""
-    return V.lines(spark, sf_dir).where("id % 11 <> 0").select("vid", "id", "en")
+    """Answers to every line but each eleventh; every eighth is blank already. Each reply also has a stray id of the next batch."""
+    told = B.batch_grid(V.lines(spark, sf_dir)).select("vid", "batch", "id", "en")
+    stray = told.where("id % 30 = 0 AND batch > 0").select("vid", (F.col("batch") - 1).alias("batch"), "id", F.lit("stray").alias("en"))
+    return told.where("id % 11 <> 0").unionByName(stray)
 
 
 @query("b11_missing_lines", sql("SELECT vid, id FROM grid WHERE id % 11 = 0"))
@@ -194,7 +197,8 @@ def _(spark, sf_dir):
 STATE_SQL = f"""
 st AS (SELECT key_id, model, arg_max(remaining, ts_s * 10000000 + event_id) FILTER (WHERE http_status < 400) AS remaining,
   CAST(floor(arg_max(ts_s + {RESET}, ts_s * 10000000 + event_id) FILTER (WHERE http_status < 400)) AS BIGINT) AS reset_at_s,
-  arg_max({HINT}, ts_s * 10000000 + event_id) FILTER (WHERE {KIND} = 'exhausted') AS exhausted FROM requests GROUP BY key_id, model)"""
+  arg_max({HINT}, ts_s * 10000000 + event_id) FILTER (WHERE {KIND} = 'exhausted' AND ts_s // 86400 = day) AS exhausted
+  FROM (SELECT *, max(ts_s // 86400) OVER (PARTITION BY key_id, model) AS day FROM requests) GROUP BY key_id, model)"""
 
 
 @query("b18_bucket_state", f"WITH {V.REQUESTS_SQL}, {STATE_SQL} SELECT * FROM st")
@@ -297,6 +301,8 @@ def _(spark, sf_dir):
   LEFT JOIN (SELECT DISTINCT vid, batch FROM parsed) a ON l.vid = a.vid AND l.batch = a.batch LEFT JOIN parsed p ON p.vid = l.vid AND p.batch = l.batch AND p.id = l.id""", REPLY_SQL))
 def _(spark, sf_dir):
     parsed = R.parse_reply(_replies(spark, sf_dir))
+    stray = parsed.where("id % 30 = 1").select("vid", (F.col("batch") + 1).alias("batch"), "id", F.lit("stray").alias("en"))
+    parsed = parsed.unionByName(stray.join(parsed.select("vid", "batch").distinct(), ["vid", "batch"], "left_semi"))
     return R.apply_reply(V.lines(spark, sf_dir), parsed, parsed.select("vid", "batch").distinct()).select("vid", "id", "en")
 
 
@@ -326,8 +332,13 @@ RELATIONS = ("his sister", "her father", "a reporter", "", "the sect elder's wif
 ENGLISH = ("You", "the elder", "Wife", "Yun Niang", "")
 
 
+def _cast_lines(spark, sf_dir):
+    """Every stretch of forty lines, numbered as a video of its own."""
+    return V.lines(spark, sf_dir).withColumns({"vid": F.col("vid") * 100_000 + F.floor(F.col("id") / 40).cast("bigint"), "id": F.col("id") % 40})
+
+
 def _cast_replies(spark, sf_dir):
-    """Cast answers built from the first lines of each video."""
+    """Cast answers, one for every forty lines of a video (see `_cast_lines`)."""
     k = F.col("id")
     role = F.when(k.isin(1, 5), "mc").when(k == 9, "EXTRA").otherwise("NPC")
     en = F.when(k % 7 == 3, F.element_at(F.array(*[F.lit(x) for x in ENGLISH]), (F.col("vid") % 5 + 1).cast("int"))) \
@@ -336,7 +347,7 @@ def _cast_replies(spark, sf_dir):
     row = F.concat(F.when(k % 4 == 0, "- ").otherwise(""), role, F.lit("|"), _word(1), F.lit(", "), _word(2), F.lit(",|"), en,
                    F.when(k % 6 == 2, F.lit("")).otherwise(F.concat(F.lit("|"), F.element_at(F.array(F.lit("f"), F.lit("male"), F.lit("?")), (k % 3 + 1).cast("int")),
                                                                  F.lit("|"), relation)))
-    return V.lines(spark, sf_dir).where("id < 40").groupBy("vid").agg(B.ordered_text("id", row, "\n").alias("content"))
+    return _cast_lines(spark, sf_dir).groupBy("vid").agg(B.ordered_text("id", row, "\n").alias("content"))
 
 
 def _in(values):
@@ -344,9 +355,8 @@ def _in(values):
 
 
 W = f"list_filter(regexp_split_to_array(text, '[{WS}]+'), lambda w: w <> '')"
-# abs(id): DuckDB turns a plain "id < n" on a row number into a top-n that loses rows here.
 CAST_SQL = f"""
-wd AS (SELECT vid, id, coalesce(({W})[1], 'x') AS w1, coalesce(({W})[2], 'x') AS w2, coalesce(({W})[3], 'x') AS w3 FROM lines WHERE abs(id) < 40),
+wd AS (SELECT vid, id, coalesce(({W})[1], 'x') AS w1, coalesce(({W})[2], 'x') AS w2, coalesce(({W})[3], 'x') AS w3 FROM (SELECT vid * 100000 + id // 40 AS vid, id % 40 AS id, text FROM lines)),
 cr AS (SELECT vid, id, CASE WHEN id % 4 = 0 THEN '- ' ELSE '' END || CASE WHEN id IN (1, 5) THEN 'mc' WHEN id = 9 THEN 'EXTRA' ELSE 'NPC' END
   || '|' || w1 || ', ' || w2 || ',|' || CASE WHEN id % 7 = 3 THEN ([{_in(ENGLISH)}])[vid % 5 + 1] WHEN id % 7 = 4 THEN w1 ELSE w3 END
   || CASE WHEN id % 6 = 2 THEN '' ELSE '|' || (['f', 'male', '?'])[id % 3 + 1] || '|' || ([{_in(RELATIONS)}])[(id + vid) % 5 + 1] END AS l FROM wd),
@@ -376,7 +386,7 @@ def _(spark, sf_dir):
 
 @query("c02_is_pronoun", V.with_lines(CAST_SQL + f"SELECT vid, id, lower(w1) IN ({_in(K.PRONOUNS_SOURCE)}) OR lower(w2) IN ({_in(K.PRONOUNS_ENGLISH)}) AS pronoun FROM wd"))
 def _(spark, sf_dir):
-    return V.lines(spark, sf_dir).where("id < 40").select("vid", "id", C.is_pronoun(F.lower(_word(1)), _word(2)).alias("pronoun"))
+    return _cast_lines(spark, sf_dir).select("vid", "id", C.is_pronoun(F.lower(_word(1)), _word(2)).alias("pronoun"))
 
 
 @query("c03_is_generic", V.with_lines(CAST_SQL + f"""SELECT vid, id, e IN ('', {_in(K.GENERIC_NAMES)}) OR ltrim(e, 'the ') IN ({_in(K.GENERIC_NAMES)}) OR w = w2 AS generic
@@ -384,7 +394,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     k = F.col("id") % 4
     en = F.when(k == 0, "The elder").when(k == 1, _word(1)).when(k == 2, "the Sister.").otherwise(_word(2))
-    return V.lines(spark, sf_dir).where("id < 40").select("vid", "id", C.is_generic(_word(2), en).alias("generic"))
+    return _cast_lines(spark, sf_dir).select("vid", "id", C.is_generic(_word(2), en).alias("generic"))
 
 
 def _chars_in(t, chars):
@@ -399,7 +409,7 @@ NAME_POOL = ("苏婉柔", "江河", "龙峰丽", "强", "宋景年", "李梅兰
   (SELECT vid, id, w1 || ([{_in(NAME_POOL)}])[(id * 3 + vid) % 6 + 1] AS n FROM wd)"""))
 def _(spark, sf_dir):
     name = F.element_at(F.array(*[F.lit(x) for x in NAME_POOL]), ((F.col("id") * 3 + F.col("vid")) % 6 + 1).cast("int"))
-    return V.lines(spark, sf_dir).where("id < 40").select("vid", "id", C.gender_from_name(F.array(_word(1), name)).alias("sex"))
+    return _cast_lines(spark, sf_dir).select("vid", "id", C.gender_from_name(F.array(_word(1), name)).alias("sex"))
 
 
 @query("c05_settle_gender", V.with_lines(CAST_SQL + "SELECT vid, ord, sex FROM castt"))
