@@ -197,9 +197,12 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8) -
 
     nodes = signed.groupBy("node").agg(F.min(F.struct("vid", "mark", "keys")).alias("r")).select("node", "r.*")
     nodes = scratch.keep(nodes, "nodes")
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.keep(members.join(shared, "key"), "members")
+    # who shares its keys with most others leads: the text that the others are edits of
+    rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
+    rank = scratch.keep(rank.join(nodes.select("node", "keys"), "node"), "rank")
     wanted = nodes.select("node", "vid", "mark").join(members.select("node").distinct(), "node")
     bodies = scratch.keep(full.dropDuplicates(["vid", "mark"]).join(wanted, ["vid", "mark"]).select("node", "text", "levels")
                           .mapInArrow(_bodies(total), "node bigint, body binary"), "bodies")
@@ -211,15 +214,16 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8) -
     while True:
         turn += 1
         inside = members.join(classes, "node")
-        mixed = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("class") != F.max("class")).alias("mixed")).where("mixed")
-        inside = inside.join(mixed.select("key", "n"), "key")
+        mixed = inside.groupBy("key").agg((F.min("class") != F.max("class")).alias("mixed")).where("mixed")
+        inside = inside.join(mixed.select("key"), "key").join(rank, "node")
         most = inside.agg(F.max("n")).first()[0]
         if most is None:
             break
-        w = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        lead = inside.select("key", F.col("node").alias("leader"), F.col("class").alias("led"), F.row_number().over(w).alias("r")) \
+        w = Window.partitionBy("key").orderBy(F.desc("rank"), "node")
+        lead = inside.select("key", F.col("node").alias("leader"), F.col("class").alias("led"), F.col("keys").alias("lkeys"), F.row_number().over(w).alias("r")) \
             .where(F.col("r") <= leaders).drop("r")
-        pairs = inside.join(lead, "key").where("class <> led") \
+        met = F.arrays_overlap(F.slice("keys", F.lit(1), F.col("band")), F.slice("lkeys", F.lit(1), F.col("band")))  # in a band before
+        pairs = inside.join(lead, (inside["key"] == lead["key"]) & (F.col("class") != F.col("led")) & ~met) \
             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
