@@ -24,6 +24,7 @@ from .shingles import counted, mix, slices
 
 BANDS, BINS = 14, 5          # finds a pair at 0.8 with probability 0.996, at 0.85 with 0.9997
 RANGE_SHINGLES = 2**21       # shingles of one hash range, counted by one task
+IDF_RANGE = 0.25             # how far the rarest shingle outweighs one that is everywhere
 STEPS = 8                    # a frequency is kept as 8 * log2, rounded
 
 
@@ -82,9 +83,13 @@ def _return(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _weights(times: np.ndarray, levels: bytes, total: int) -> np.ndarray:
-    """tf * idf; the idf runs from 1 for a shingle that is everywhere towards 2 for one seen once."""
+    """tf * idf; the idf runs from 1 for a shingle that is everywhere towards 1 + IDF_RANGE for one seen once.
+
+    A wide range would rate the few edits of a text far above what it shares with a large group of
+    copies, and so split groups whose plain Jaccard similarity is well above the threshold.
+    """
     frequency = np.exp2(np.frombuffer(levels, np.uint8) / STEPS)
-    return (times * (1 + np.log1p(total / frequency) / math.log1p(total))).astype(np.float16)
+    return (times * (1 + IDF_RANGE * np.log1p(total / frequency) / math.log1p(total))).astype(np.float16)
 
 
 def band_keys(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -174,7 +179,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8) -> DataFrame:
+def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, max_leaders: int | None = None) -> DataFrame:
     """Per transcript: ``vid, class_vid, class_size, kept``; the smallest vid of a class stays.
 
     Two transcripts are linked if the weighted Jaccard similarity of their five-word shingles, tf *
@@ -182,6 +187,10 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8) -
     of fewer than five words has one shingle, one without words (NULL, empty) is a class of its own.
     A NULL vid counts in its class and stays only where no other row is in it (``class_vid`` NULL).
     Repeated rows are in one class and share its fate; an empty table gives no rows.
+
+    By default every pair of classes in a band's group is compared in the end, which costs the
+    square of the number of texts that stay unlinked in a group. ``max_leaders`` ends it earlier, at
+    so many leaders a group; links between two texts that both lead no group may then be missed.
     """
     docs = transcripts(rows).select(F.coalesce("vid", F.lit(NO_VID)).alias("vid"), F.xxhash64("text").alias("mark"), "text")
     total, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
@@ -237,7 +246,7 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8) -
             found = components(edges, scratch, f"classes-{turn}")
             classes = members.select("node").distinct().join(found, F.col("node") == F.col("id"), "left") \
                 .select("node", F.coalesce("component", "node").alias("class"))
-        if leaders >= most:
+        if leaders >= most or max_leaders is not None and leaders >= max_leaders:
             break
         leaders *= 8
     named = signed.select("vid", "mark", "node").join(classes, "node", "left").select("vid", "mark", F.coalesce("class", "node").alias("class"))

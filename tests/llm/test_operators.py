@@ -175,7 +175,7 @@ def jaccard(texts):
         bags.append(collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else {})
     df = collections.Counter(s for b in bags for s in b)
     n = len(texts)
-    bags = [{s: c * (1 + math.log1p(n / df[s]) / math.log1p(n)) for s, c in b.items()} for b in bags]
+    bags = [{s: c * (1 + near.IDF_RANGE * math.log1p(n / df[s]) / math.log1p(n)) for s, c in b.items()} for b in bags]
 
     def sim(x, y):
         both = sum(min(v, y[s]) for s, v in x.items() if s in y)
