@@ -90,6 +90,8 @@ def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    planted = [(10**6, "A quiet note on the release: password = hunter2hunter2 and nothing more.", "en", "src1", 72)]  # this size has no secret
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
     before, steps = {r.doc_id: r for r in docs.collect()}, {}
     for name, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, SF_DIR)
