@@ -4,9 +4,11 @@
    by hash range, to the range's group, which counts them and sends one byte per shingle back.
 2. Each transcript's shingles are weighted by tf * idf and sampled by improved consistent weighted
    sampling: in every band one sample per bin of shingles. A band's samples together are its key.
-3. Transcripts that share a band are candidates. Leaders of a band's group are compared with the
-   group's members of other classes, with ever more leaders, until no pair of classes in a group
-   is left uncompared; classes are the connected components of pairs verified by weighted Jaccard.
+3. Transcripts that share a band are candidates, unless the weight that each shares with any
+   transcript at all is too small for the pair (see ``_reach``). Leaders of a band's group are
+   compared with the group's members of other classes, with ever more leaders, until no pair of
+   classes in a group is left uncompared; classes are the connected components of pairs verified by
+   weighted Jaccard.
 """
 from __future__ import annotations
 
@@ -132,21 +134,25 @@ def _vector(h: np.ndarray, w: np.ndarray) -> bytes:
 
 
 def _sign(total: int):
-    schema = pa.schema([("vid", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("vid", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("size", pa.float64()),
+                        ("common", pa.float64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 128, 500_000):
-                rows = [(v, m, h, _weights(n, x, total)) for v, m, x, (h, n) in zip(
+                rows = [(v, m, h, _weights(n, x, total), np.frombuffer(x, np.uint8) > 0) for v, m, x, (h, n) in zip(
                     part.column("vid").to_pylist(), part.column("mark").to_pylist(), part.column("levels").to_pylist(),
                     counted(part.column("text").to_pylist()), strict=True) if len(h)]
                 if not rows:
                     continue
-                keys = band_keys([(h, w) for _, _, h, w in rows]).view(np.int64)
+                keys = band_keys([(h, w) for _, _, h, w, _ in rows]).view(np.int64)
                 # transcripts with equal vectors are one node
-                node = [int((mix(h) * (w.view(np.uint16).astype(np.uint64) * np.uint64(2) + np.uint64(1))).sum().view(np.int64)) for _, _, h, w in rows]
+                node = [int((mix(h) * (w.view(np.uint16).astype(np.uint64) * np.uint64(2) + np.uint64(1))).sum().view(np.int64)) for _, _, h, w, _ in rows]
+                size = [float(w.sum(dtype=np.float64)) for _, _, _, w, _ in rows]
+                common = [float(w[twice].sum(dtype=np.float64)) for _, _, _, w, twice in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                                                  pa.array(node, pa.int64()), pa.array(keys.tolist(), pa.list_(pa.int64()))], schema=schema)
+                                                  pa.array(node, pa.int64()), pa.array(size, pa.float64()), pa.array(common, pa.float64()),
+                                                  pa.array(keys.tolist(), pa.list_(pa.int64()))], schema=schema)
     return run
 
 
@@ -179,6 +185,18 @@ def _verify(threshold: float):
     return run
 
 
+def _reach(threshold: float):
+    """The largest weight a text can have that this one, of weight ``size``, is linked with.
+
+    Two texts share at most ``common``, the weight of those shingles that are in more than one
+    transcript. Their similarity reaches t only if they share at least t / (1 + t) of their joint
+    weight, so the other one weighs at most (1 + t) / t * common - size. Of two linked texts the
+    heavier is within the lighter one's reach, so the lighter one reaches its own weight: a text
+    that doesn't need not lead a group. Exact but for rounding, which the factor leaves room for.
+    """
+    return (1 + threshold) / threshold * F.col("common") * (1 + 1e-9) - F.col("size")
+
+
 def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, max_leaders: int | None = None) -> DataFrame:
     """Per transcript: ``vid, class_vid, class_size, kept``; the smallest vid of a class stays.
 
@@ -202,16 +220,18 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, m
     levels = scratch.keep(levels, "levels")
     levels = levels.groupBy("vid", "mark").agg(F.any_value("levels").alias("levels"))
     full = scratch.keep(docs.join(levels, ["vid", "mark"]), "full")
-    signed = scratch.keep(full.mapInArrow(_sign(total), "vid bigint, mark bigint, node bigint, keys array<bigint>"), "signed")
+    signed = scratch.keep(full.mapInArrow(_sign(total), "vid bigint, mark bigint, node bigint, size double, common double, keys array<bigint>"), "signed")
 
-    nodes = signed.groupBy("node").agg(F.min(F.struct("vid", "mark", "keys")).alias("r")).select("node", "r.*")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("vid", "mark", "size", "common", "keys")).alias("r")) \
+        .select("node", "r.*").withColumn("reach", _reach(threshold))
     nodes = scratch.keep(nodes, "nodes")
-    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    # a partner weighs at least threshold times as much
+    members = nodes.where(F.col("reach") >= threshold * F.col("size")).select("node", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.keep(members.join(shared, "key"), "members")
     # who shares its keys with most others leads: the text that the others are edits of
     rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
-    rank = scratch.keep(rank.join(nodes.select("node", "keys"), "node"), "rank")
+    rank = scratch.keep(rank.join(nodes.select("node", "size", "reach", "keys"), "node"), "rank")
     wanted = nodes.select("node", "vid", "mark").join(members.select("node").distinct(), "node")
     bodies = scratch.keep(full.dropDuplicates(["vid", "mark"]).join(wanted, ["vid", "mark"]).select("node", "text", "levels")
                           .mapInArrow(_bodies(total), "node bigint, body binary"), "bodies")
@@ -225,14 +245,17 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, m
         inside = members.join(classes, "node")
         mixed = inside.groupBy("key").agg((F.min("class") != F.max("class")).alias("mixed")).where("mixed")
         inside = inside.join(mixed.select("key"), "key").join(rank, "node")
-        most = inside.agg(F.max("n")).first()[0]
+        able = inside.where("reach >= size")
+        most = able.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if most is None:
             break
         w = Window.partitionBy("key").orderBy(F.desc("rank"), "node")
-        lead = inside.select("key", F.col("node").alias("leader"), F.col("class").alias("led"), F.col("keys").alias("lkeys"), F.row_number().over(w).alias("r")) \
+        lead = able.select("key", F.col("node").alias("leader"), F.col("class").alias("led"), F.col("keys").alias("lkeys"),
+                           F.col("size").alias("lsize"), F.col("reach").alias("lreach"), F.row_number().over(w).alias("r")) \
             .where(F.col("r") <= leaders).drop("r")
         met = F.arrays_overlap(F.slice("keys", F.lit(1), F.col("band")), F.slice("lkeys", F.lit(1), F.col("band")))  # in a band before
-        pairs = inside.join(lead, (inside["key"] == lead["key"]) & (F.col("class") != F.col("led")) & ~met) \
+        near = (F.col("size") <= F.col("lreach")) & (F.col("lsize") <= F.col("reach"))
+        pairs = inside.join(lead, (inside["key"] == lead["key"]) & (F.col("class") != F.col("led")) & near & ~met) \
             .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")

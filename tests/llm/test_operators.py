@@ -274,3 +274,29 @@ def test_components(spark, scratch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 102), (101, 102), (7, 7)], "a bigint, b bigint")
     got = {r.id: r.component for r in components(edges, scratch).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in (100, 101, 102)}}
+
+
+def test_reach_loses_no_link(spark):
+    """Every pair at the threshold is within each other's reach, and its lighter text reaches its own weight."""
+    r, t = random.Random(8), 0.8
+    bags = []
+    for _ in range(60):
+        w = voice(3, 60)
+        for _ in range(r.randrange(9)):
+            i = r.randrange(len(w))
+            w[i:i + r.choice([1, 1, 3])] = r.choice([[], [f"edit{r.randrange(6)}"], [f"own{r.random()}"]])
+        bags.append(" ".join(w))
+    weighted, sim = jaccard(bags)
+    df = {}
+    for b in weighted:
+        for s in b:
+            df[s] = df.get(s, 0) + 1
+    rows = [(sum(b.values()), sum(x for s, x in b.items() if df[s] > 1)) for b in weighted]
+    got = [x["reach"] for x in spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, size double, common double")
+           .orderBy("i").select(near._reach(t).alias("reach")).collect()]
+    links = [(i, j) for i in range(60) for j in range(i) if sim(weighted[i], weighted[j]) >= t]
+    assert links and any(reach < size for reach, (size, _) in zip(got, rows, strict=True))
+    for i, j in links:
+        light = min(i, j, key=lambda k: rows[k][0])
+        assert rows[i][0] <= got[j] and rows[j][0] <= got[i] and got[light] >= rows[light][0]
+        assert min(got[i] / rows[i][0], got[j] / rows[j][0]) >= t
