@@ -238,8 +238,7 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, m
     scratch.drop("full")
 
     edges, classes = None, members.select("node").distinct().withColumn("class", F.col("node"))
-    done = None
-    leaders, turn = 1, 0
+    led, leaders, turn = 0, 1, 0
     while True:
         turn += 1
         inside = members.join(classes, "node")
@@ -249,18 +248,17 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, m
         most = able.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if most is None:
             break
+        # members of a key never change, nor does their order: leaders up to `led` have been compared already
         w = Window.partitionBy("key").orderBy(F.desc("rank"), "node")
         lead = able.select("key", F.col("node").alias("leader"), F.col("class").alias("led"), F.col("keys").alias("lkeys"),
-                           F.col("size").alias("lsize"), F.col("reach").alias("lreach"), F.row_number().over(w).alias("r")) \
-            .where(F.col("r") <= leaders).drop("r")
+                           F.col("size").alias("lsize"), F.col("reach").alias("lreach"), F.col("rank").alias("lrank"), F.row_number().over(w).alias("r")) \
+            .where((F.col("r") <= leaders) & (F.col("r") > led)).drop("r")
         met = F.arrays_overlap(F.slice("keys", F.lit(1), F.col("band")), F.slice("lkeys", F.lit(1), F.col("band")))  # in a band before
         near = (F.col("size") <= F.col("lreach")) & (F.col("lsize") <= F.col("reach"))
-        pairs = inside.join(lead, (inside["key"] == lead["key"]) & (F.col("class") != F.col("led")) & near & ~met) \
-            .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        ahead = (F.col("reach") >= F.col("size")) & ((F.col("rank") > F.col("lrank")) | ((F.col("rank") == F.col("lrank")) & (F.col("node") < F.col("leader"))))
+        pairs = inside.join(lead, (inside["key"] == lead["key"]) & (F.col("class") != F.col("led")) & near & ~ahead & ~met) \
+            .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))  # each pair once, by the one that leads first
         pairs = scratch.keep(pairs, f"pairs-{turn}")
-        done = pairs if done is None else done.unionAll(pairs)
         both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a") \
             .join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
         linked = scratch.keep(both.mapInPandas(_verify(threshold), "a bigint, b bigint, sim double"), f"links-{turn}").select("a", "b")
@@ -271,7 +269,7 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, m
                 .select("node", F.coalesce("component", "node").alias("class"))
         if leaders >= most or max_leaders is not None and leaders >= max_leaders:
             break
-        leaders *= 8
+        led, leaders = leaders, leaders * 8
     named = signed.select("vid", "mark", "node").join(classes, "node", "left").select("vid", "mark", F.coalesce("class", "node").alias("class"))
     heads = named.groupBy("class").agg(F.min("vid").alias("head"), F.count(F.lit(1)).alias("size"))
     named = named.join(heads, "class").select("vid", "head", "size")
