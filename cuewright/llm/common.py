@@ -47,18 +47,24 @@ class Scratch:
             pass
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every ``hi`` has one ``lo`` and no ``lo`` is a ``hi``."""
+    ends = edges.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")) \
+        .unionAll(edges.select(F.col("lo").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 - root").take(1)
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(id, component) for every end of an edge; a component is named by its smallest id.
 
     ``edges`` has bigint columns ``a`` and ``b``. Large-star and small-star steps alternate until
-    nothing changes (Kiveris et al. 2014): every step keeps at most as many edges as there were,
+    only stars are left (Kiveris et al. 2014): every step keeps at most as many edges as there were,
     a hub is reduced by map-side minima, and the joins after it are ones AQE can split.
     """
     now = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
                        .distinct(), f"{name}-0")
-    mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")))
-    before, step = now.select(mark).first()[0], 0
-    while before[0]:
+    step = 0
+    while not _stars(now):
         step += 1
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")) \
             .unionAll(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -69,10 +75,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")) \
             .unionAll(root.select("hi", F.col("m").alias("lo"))).distinct()
         now = scratch.keep(small, f"{name}-{step}")
-        after = now.select(mark).first()[0]
-        if after == before:
-            break
-        before = after
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")) \
         .unionAll(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 

@@ -180,8 +180,7 @@ def _verify(threshold: float):
     def run(batches):
         for pdf in batches:
             sim = [_similarity(x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            out = pdf[["a", "b"]].assign(sim=sim)
-            yield out[out["sim"] >= threshold]
+            yield pdf[["class", "led"]][np.array(sim) >= threshold]
     return run
 
 
@@ -237,7 +236,7 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, m
                           .mapInArrow(_bodies(total), "node bigint, body binary"), "bodies")
     scratch.drop("full")
 
-    edges, classes = None, members.select("node").distinct().withColumn("class", F.col("node"))
+    classes = rank.select("node", F.col("node").alias("class"))
     led, leaders, turn = 0, 1, 0
     while True:
         turn += 1
@@ -257,16 +256,15 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, m
         near = (F.col("size") <= F.col("lreach")) & (F.col("lsize") <= F.col("reach"))
         ahead = (F.col("reach") >= F.col("size")) & ((F.col("rank") > F.col("lrank")) | ((F.col("rank") == F.col("lrank")) & (F.col("node") < F.col("leader"))))
         pairs = inside.join(lead, (inside["key"] == lead["key"]) & (F.col("class") != F.col("led")) & near & ~ahead & ~met) \
-            .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))  # each pair once, by the one that leads first
+            .select(F.col("node").alias("a"), F.col("leader").alias("b"), "class", "led")  # each pair once, by the one that leads first
         pairs = scratch.keep(pairs, f"pairs-{turn}")
         both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a") \
             .join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-        linked = scratch.keep(both.mapInPandas(_verify(threshold), "a bigint, b bigint, sim double"), f"links-{turn}").select("a", "b")
-        edges = linked if edges is None else edges.unionAll(linked)
-        if linked.take(1):
-            found = components(edges, scratch, f"classes-{turn}")
-            classes = members.select("node").distinct().join(found, F.col("node") == F.col("id"), "left") \
-                .select("node", F.coalesce("component", "node").alias("class"))
+        linked = scratch.keep(both.mapInPandas(_verify(threshold), "class bigint, led bigint"), f"links-{turn}")
+        if linked.take(1):  # they join classes, so only classes are looked at
+            found = components(linked.select(F.col("class").alias("a"), F.col("led").alias("b")), scratch, f"joined-{turn}")
+            classes = scratch.keep(classes.join(found, F.col("class") == F.col("id"), "left")
+                                   .select("node", F.coalesce("component", "class").alias("class")), f"classes-{turn}")
         if leaders >= most or max_leaders is not None and leaders >= max_leaders:
             break
         led, leaders = leaders, leaders * 8
