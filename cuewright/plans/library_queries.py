@@ -88,14 +88,14 @@ cue AS (SELECT *, CASE WHEN length(t) <= 42 THEN t WHEN len(string_split(f, chr(
 """
 
 
-@query("s05_to_srt", V.with_lines(CUE_SQL + f"""SELECT vid, (n - 1) // 1000 AS part, string_agg(n || chr(10) || {clock_sql('start_ms', ',')} || ' --> ' || {clock_sql('end_ms', ',')}
-  || chr(10) || cue || chr(10), chr(10) ORDER BY n) AS doc FROM cue GROUP BY ALL"""))
+@query("s05_to_srt", V.with_lines(CUE_SQL + f"""SELECT vid, n, CASE WHEN n > 1 THEN chr(10) ELSE '' END || n || chr(10) || {clock_sql('start_ms', ',')} || ' --> '
+  || {clock_sql('end_ms', ',')} || chr(10) || cue AS text FROM cue"""))
 def _(spark, sf_dir):
     return TT.to_srt(V.lines(spark, sf_dir))
 
 
-@query("s06_to_vtt", V.with_lines(CUE_SQL + f"""SELECT vid, (n - 1) // 1000 AS part, CASE WHEN min(n) = 1 THEN 'WEBVTT' || chr(10) || chr(10) ELSE '' END
-  || string_agg({clock_sql('start_ms', '.')} || ' --> ' || {clock_sql('end_ms', '.')} || chr(10) || cue || chr(10), chr(10) ORDER BY n) AS doc FROM cue GROUP BY vid, (n - 1) // 1000"""))
+@query("s06_to_vtt", V.with_lines(CUE_SQL + f"""SELECT DISTINCT vid, CAST(0 AS BIGINT) AS n, 'WEBVTT' AS text FROM lines UNION ALL
+  SELECT vid, n, chr(10) || {clock_sql('start_ms', '.')} || ' --> ' || {clock_sql('end_ms', '.')} || chr(10) || cue FROM cue"""))
 def _(spark, sf_dir):
     return TT.to_vtt(V.lines(spark, sf_dir))
 

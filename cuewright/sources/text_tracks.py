@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as K
 from ..functions import text as X
-from ..operators.timing import ordered_text
 from ..plans.blocks import positions
 
 SEGMENT = "id BIGINT, start DOUBLE, end DOUBLE, text STRING, en STRING, fixed BOOLEAN, crowded BOOLEAN, clipped BOOLEAN"
 PART = "STRUCT<language: STRING, segments: ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, text: STRING>>>"
-CUES_PER_PART = 1000
 
 
 def _ms(seconds: Column) -> Column:
@@ -83,26 +81,22 @@ def cues(lines: DataFrame, field: str = "en") -> DataFrame:
     return numbered.select("vid", (F.col("_k") + 1).alias("n"), "start_ms", "end_ms", X.wrap_cue(F.col("_t")).alias("cue"))
 
 
-def _documents(rows: DataFrame, block: Column, head: Column) -> DataFrame:
-    """Text per thousand cues; the parts of a video, in order, joined by a line break are its file."""
-    part = F.floor((F.col("n") - 1) / CUES_PER_PART).cast("bigint")
-    return rows.groupBy("vid", part.alias("part")).agg(ordered_text("n", block, "\n").alias("_d")) \
-        .select("vid", "part", F.concat(F.when(F.col("part") == 0, head).otherwise(""), "_d").alias("doc"))
-
-
 def to_srt(lines: DataFrame, field: str = "en") -> DataFrame:
-    block = F.concat(F.col("n").cast("string"), F.lit("\n"), X.cue_clock(F.col("start_ms")), F.lit(" --> "),
-                     X.cue_clock(F.col("end_ms")), F.lit("\n"), "cue", F.lit("\n"))
-    return _documents(cues(lines, field), block, F.lit(""))
+    """(vid, n, text), a row per cue; in order of n, each with a line break after it, they are the file."""
+    gap = F.when(F.col("n") > 1, "\n").otherwise("")
+    text = F.concat(gap, F.col("n").cast("string"), F.lit("\n"), X.cue_clock(F.col("start_ms")), F.lit(" --> "),
+                    X.cue_clock(F.col("end_ms")), F.lit("\n"), "cue")
+    return cues(lines, field).select("vid", "n", text.alias("text"))
 
 
 def to_vtt(lines: DataFrame, field: str = "en") -> DataFrame:
-    block = F.concat(X.cue_clock(F.col("start_ms"), "."), F.lit(" --> "), X.cue_clock(F.col("end_ms"), "."),
-                     F.lit("\n"), "cue", F.lit("\n"))
-    return _documents(cues(lines, field), block, F.lit("WEBVTT\n\n"))
+    """As ``to_srt``; row 0 is the header, which a video without cues has too."""
+    text = F.concat(F.lit("\n"), X.cue_clock(F.col("start_ms"), "."), F.lit(" --> "), X.cue_clock(F.col("end_ms"), "."), F.lit("\n"), "cue")
+    head = lines.select("vid").distinct().select("vid", F.lit(0).cast("bigint").alias("n"), F.lit("WEBVTT").alias("text"))
+    return head.unionByName(cues(lines, field).select("vid", "n", text.alias("text")))
 
 
-def write_subtitles(docs: DataFrame, path: str) -> None:
-    """Text files partitioned by video; one file per video and part, in part order."""
-    docs.repartition("vid", "part").sortWithinPartitions("vid", "part").select("vid", "part", F.col("doc").alias("value")) \
-        .write.mode("overwrite").partitionBy("vid", "part").text(path)
+def write_subtitles(rows: DataFrame, path: str) -> None:
+    """Text files partitioned by video; a long video's files, in order of their names, are one after the other its text."""
+    rows.repartitionByRange("vid", "n").sortWithinPartitions("vid", "n").select("vid", F.col("text").alias("value")) \
+        .write.mode("overwrite").partitionBy("vid").text(path)
