@@ -133,12 +133,16 @@ def stat_grid(videos: DataFrame) -> DataFrame:
         F.coalesce(get("clipped", "bigint"), F.lit(0)).cast("bigint").alias("clipped"))
 
 
-def validate_uploads(files: DataFrame) -> DataFrame:
-    """Adds title and refusal. files: filename, size_bytes, title."""
+def validate_uploads(files: DataFrame, *, title_chars: int | None = 200) -> DataFrame:
+    """Adds title and refusal. files: filename, size_bytes, title.
+
+    A title is cut after ``title_chars`` characters; None leaves it whole.
+    """
     ext = F.lower(F.regexp_extract("filename", r"(\.[^./]+)$", 1))
     stem = F.regexp_replace("filename", r"\.[^./]+$", "")
     title = F.coalesce(F.nullif(X.strip(F.coalesce("title", F.lit(""))), F.lit("")), stem)
-    return files.withColumn("title", F.substring(title, 1, 200)).withColumn(
+    title = title if title_chars is None else F.substring(title, 1, title_chars)
+    return files.withColumn("title", title).withColumn(
         "refusal", F.when(~ext.isin(*K.VIDEO_EXTENSIONS), "format not supported").when(F.col("size_bytes") == 0, "empty file"))
 
 
