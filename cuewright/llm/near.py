@@ -196,6 +196,18 @@ def _reach(threshold: float):
     return (1 + threshold) / threshold * F.col("common") * (1 + 1e-9) - F.col("size")
 
 
+def shingle_levels(docs: DataFrame, scratch: Scratch) -> tuple[int, DataFrame]:
+    """Number of ``docs`` (vid, mark, text), and per (vid, mark) one byte for each of its shingles, in the order of their hashes."""
+    total, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    bits = max(0, math.ceil(math.log2(max(1, (size or 0) / 6 / RANGE_SHINGLES))))
+    sent = docs.mapInArrow(_send(bits), "range bigint, block bigint, body binary, vids array<bigint>, marks array<bigint>")
+    packed = "range bigint, block bigint, body binary, vids array<bigint>, marks array<bigint>"
+    levels = sent.groupBy("range").applyInPandas(_count, packed) \
+        .groupBy("block").applyInPandas(_return, "vid bigint, mark bigint, levels binary")
+    levels = scratch.keep(levels, "levels")
+    return total, levels.groupBy("vid", "mark").agg(F.any_value("levels").alias("levels"))
+
+
 def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, max_leaders: int | None = None) -> DataFrame:
     """Per transcript: ``vid, class_vid, class_size, kept``; the smallest vid of a class stays.
 
@@ -210,14 +222,7 @@ def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, m
     so many leaders a group; links between two texts that both lead no group may then be missed.
     """
     docs = transcripts(rows).select(F.coalesce("vid", F.lit(NO_VID)).alias("vid"), F.xxhash64("text").alias("mark"), "text")
-    total, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    bits = max(0, math.ceil(math.log2(max(1, (size or 0) / 6 / RANGE_SHINGLES))))
-    sent = docs.mapInArrow(_send(bits), "range bigint, block bigint, body binary, vids array<bigint>, marks array<bigint>")
-    packed = "range bigint, block bigint, body binary, vids array<bigint>, marks array<bigint>"
-    levels = sent.groupBy("range").applyInPandas(_count, packed) \
-        .groupBy("block").applyInPandas(_return, "vid bigint, mark bigint, levels binary")
-    levels = scratch.keep(levels, "levels")
-    levels = levels.groupBy("vid", "mark").agg(F.any_value("levels").alias("levels"))
+    total, levels = shingle_levels(docs, scratch)
     full = scratch.keep(docs.join(levels, ["vid", "mark"]), "full")
     signed = scratch.keep(full.mapInArrow(_sign(total), "vid bigint, mark bigint, node bigint, size double, common double, keys array<bigint>"), "signed")
 

@@ -232,6 +232,45 @@ def test_passages_by_construction(spark, scratch):
         assert abs(len(text[r.vid][r.start:r.end].split()) - 60) <= 3
 
 
+def test_passages_whose_parts_others_own(spark, scratch):
+    shared = voice(500, 60)
+    rows = [(1, " ".join(voice(501) + shared + voice(502))), (2, " ".join(shared + voice(503)))]
+    for k in range(20):
+        rows += [(10 + k, " ".join(voice(600 + k, 60) + shared[:30])), (40 + k, " ".join(shared[30:] + voice(700 + k, 60)))]
+    for few in (4, 40):  # seeds of few texts, and of many
+        got = passages.shared_passages(scripts(spark, *rows[:2 + few]), scratch.__class__(spark)).collect()
+        assert [(*sorted((r.vid, r.other_vid)), r.words, r.other_words) for r in got] == [(1, 2, 60, 60)]
+
+
+def fuzzy_pairs(n, words, identity, seed, inserted=0):
+    """Texts 2k and 2k + 1 share a passage of so many words, of which a share of 1 - identity differs."""
+    r, rows = random.Random(seed), []
+    for k in range(n):
+        x = voice(seed * 10**6 + k, words)
+        y = list(x)
+        for at in r.sample(range(1, words - 1), round(words * (1 - identity))):
+            y[at] = f"changed{r.randrange(10**6)}"
+        for _ in range(inserted):
+            y.insert(r.randrange(4, words - 4), f"inserted{r.randrange(10**6)}")
+        rows += [(2 * k, " ".join(voice(seed * 10**6 + 10**4 + k, 40) + x + voice(seed * 10**6 + 2 * 10**4 + k, 40))),
+                 (2 * k + 1, " ".join(voice(seed * 10**6 + 3 * 10**4 + k, 30) + y + voice(seed * 10**6 + 4 * 10**4 + k, 30)))]
+    return rows
+
+
+@pytest.mark.parametrize(("words", "identity", "inserted", "least"), [(52, 0.8, 0, 0.97), (50, 0.85, 0, 0.98), (60, 0.9, 2, 0.98)])
+def test_recall_of_fuzzy_passages(spark, scratch, words, identity, inserted, least):
+    got = passages.shared_passages(scripts(spark, *fuzzy_pairs(150, words, identity, words, inserted)), scratch).collect()
+    assert all(r.vid // 2 == r.other_vid // 2 and min(r.words, r.other_words) >= 50 and r.identity >= 0.8 for r in got)
+    assert len({r.vid // 2 for r in got}) >= least * 150
+
+
+def test_text_that_repeats_a_line(spark, scratch):
+    line, other = voice(800, 12), voice(801, 60)
+    rows = [(1, " ".join(line * 3000 + other)), (2, " ".join(other + line * 5)), (3, " ".join(voice(802) + line * 2000)), (4, " ".join(other)), (5, " ".join(other))]
+    got = passages.shared_passages(scripts(spark, *rows), scratch).collect()
+    assert {tuple(sorted((r.vid, r.other_vid))) for r in got} >= {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (4, 5)}
+
+
 def test_chains_and_common_words_by_brute_force():
     assert passages.chains([(0, 50), (10, 60), (5, 3), (20, 70), (30, 81)], 20) == [(0, 35, 50, 86)]
     r = random.Random(8)
