@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import NO_VID, Scratch, components, transcripts
 from .shingles import counted, mix, slices
 
-BANDS, BINS = 14, 5          # finds a pair at 0.8 with probability 0.996, at 0.85 with 0.9997
+BANDS, BINS = 14, 5          # by the formula, finds a pair at 0.8 with probability 0.996, at 0.85 with 0.9997
 RANGE_SHINGLES = 2**21       # shingles of one hash range, counted by one task
 IDF_RANGE = 0.25             # how far the rarest shingle outweighs one that is everywhere
 STEPS = 8                    # a frequency is kept as 8 * log2, rounded
@@ -100,14 +100,17 @@ def band_keys(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     doc = np.repeat(np.arange(len(found)), sizes)
     every = np.concatenate([h for h, _ in found])
     log_w = np.log(np.concatenate([w for _, w in found]).astype(np.float32))
-    cell = doc * BINS + (mix(every ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(BINS)).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    every, log_w, cell = every[order], log_w[order], cell[order]
-    present, starts = np.unique(cell, return_index=True)
+    whole, whole_w = every, log_w
+    narrow = np.uint16 if len(found) * BINS < 2**16 else np.int64  # which sorts by radix
     keys = np.empty((len(found), BANDS), np.uint64)
     unit = np.float32(2.0**-24)
     mask = np.uint64(0xFFFFFF)
     for band in range(BANDS):
+        # other bins in every band: a bin of a short text may hold only what its partner lacks
+        cell = (doc * BINS + (mix(whole ^ np.uint64((band + 1) * 0x5851F42D4C957F2D % 2**64)) % np.uint64(BINS)).astype(np.int64)).astype(narrow)
+        order = np.argsort(cell, kind="stable")
+        every, log_w, cell = whole[order], whole_w[order], cell[order]
+        present, starts = np.unique(cell, return_index=True)
         a = mix(every + np.uint64((band * 2 + 1) * 0x9E3779B97F4A7C15 % 2**64))
         b = mix(a + np.uint64(0x2545F4914F6CDD1D))
         u = [((x >> np.uint64(s)) & mask).astype(np.float32) * unit + unit / 2 for x, s in ((a, 0), (a, 24), (b, 0), (b, 24))]

@@ -218,6 +218,18 @@ def test_weighted_samples_agree_as_often_as_jaccard_says():
     assert keys.shape == (2, near.BANDS) and (near.band_keys([a])[0] == keys[0]).all()
 
 
+@pytest.mark.parametrize(("words", "more"), [(13, 1), (15, 0), (15, 2), (20, 3), (25, 5), (40, 6)])
+def test_recall_of_bands_on_short_texts(words, more):
+    texts = []
+    for k in range(1500):
+        w = voice(10**6 + k, words)
+        texts += [" ".join(w), " ".join(w + voice(2 * 10**6 + k, more) if more else w[:-1] + ["changed"])]
+    found = [(h, np.ones(len(h), np.float16)) for h, _ in near.counted(texts)]
+    keys = near.band_keys(found)
+    sims = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for (a, _), (b, _) in zip(found[::2], found[1::2], strict=True)]
+    assert min(sims) >= 0.8 and (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.985
+
+
 def test_passages_by_construction(spark, scratch):
     shared = voice(99, 60)
     fuzzy = [w if i % 9 else "other" for i, w in enumerate(shared)]
