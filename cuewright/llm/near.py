@@ -91,7 +91,7 @@ def _weights(times: np.ndarray, levels: bytes, total: int) -> np.ndarray:
     copies, and so split groups whose plain Jaccard similarity is well above the threshold.
     """
     frequency = np.exp2(np.frombuffer(levels, np.uint8) / STEPS)
-    return (times * (1 + IDF_RANGE * np.log1p(total / frequency) / math.log1p(total))).astype(np.float16)
+    return (times * (1 + IDF_RANGE * np.log1p(total / frequency) / math.log1p(total))).astype(np.float32)
 
 
 def band_keys(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -133,7 +133,7 @@ def band_keys(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _vector(h: np.ndarray, w: np.ndarray) -> bytes:
-    return h.astype("<u4").tobytes() + w.astype("<f2").tobytes()
+    return h.astype("<u4").tobytes() + w.astype("<f4").tobytes()
 
 
 def _sign(total: int):
@@ -150,7 +150,7 @@ def _sign(total: int):
                     continue
                 keys = band_keys([(h, w) for _, _, h, w, _ in rows]).view(np.int64)
                 # transcripts with equal vectors are one node
-                node = [int((mix(h) * (w.view(np.uint16).astype(np.uint64) * np.uint64(2) + np.uint64(1))).sum().view(np.int64)) for _, _, h, w, _ in rows]
+                node = [int((mix(h) * (w.view(np.uint32).astype(np.uint64) * np.uint64(2) + np.uint64(1))).sum().view(np.int64)) for _, _, h, w, _ in rows]
                 size = [float(w.sum(dtype=np.float64)) for _, _, _, w, _ in rows]
                 common = [float(w[twice].sum(dtype=np.float64)) for _, _, _, w, twice in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
@@ -171,9 +171,9 @@ def _bodies(total: int):
 
 def _similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard of two packed vectors."""
-    n, m = len(a) // 6, len(b) // 6
+    n, m = len(a) // 8, len(b) // 8
     x, y = np.frombuffer(a, "<u4", n), np.frombuffer(b, "<u4", m)
-    v, w = (np.frombuffer(s, "<f2", k, 4 * k).astype(np.float64) for s, k in ((a, n), (b, m)))
+    v, w = (np.frombuffer(s, "<f4", k, 4 * k).astype(np.float64) for s, k in ((a, n), (b, m)))
     _, i, j = np.intersect1d(x, y, return_indices=True)
     both = np.minimum(v[i], w[j]).sum()
     return both / (v.sum() + w.sum() - both)

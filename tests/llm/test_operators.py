@@ -230,6 +230,13 @@ def test_recall_of_bands_on_short_texts(words, more):
     assert min(sims) >= 0.8 and (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.985
 
 
+def test_weights_of_a_line_repeated_very_often():
+    vectors = [near._vector(h, near._weights(n, bytes(len(h)), 10)) for h, n in near.counted([" ".join(voice(3, 7)) + "\n", (" ".join(voice(3, 7)) + "\n") * 100_000,
+                                                                                            (" ".join(voice(3, 7)) + "\n") * 110_000, (" ".join(voice(3, 7)) + "\n") * 200_000])]
+    assert near._similarity(vectors[1], vectors[1]) == 1 and abs(near._similarity(vectors[1], vectors[2]) - 10 / 11) < 1e-3
+    assert abs(near._similarity(vectors[1], vectors[3]) - 0.5) < 1e-3 and vectors[1] != vectors[3]
+
+
 def test_passages_by_construction(spark, scratch):
     shared = voice(99, 60)
     fuzzy = [w if i % 9 else "other" for i, w in enumerate(shared)]
