@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licences, lines, near, packing, passages, pieces, secrets, toxicity, voices
+from . import exact, languages, licences, lines, manifest, near, packing, passages, pieces, prompts, secrets, toxicity, voices
 from .common import Scratch, hex_sha
 
 QUERIES: dict = {}
@@ -152,3 +152,94 @@ def op4_minhash_dedup(spark, sf_dir):
 def op8_substring_dedup(spark, sf_dir):
     out = passages.shared_passages(documents(spark, sf_dir), Scratch(spark))
     return out.withColumnsRenamed({"vid": "doc_id", "other_vid": "other_id"})
+
+
+A_Z, A_Z_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CRC_SQL = """bits AS (SELECT i AS byte, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) r(i) UNION ALL
+  SELECT byte, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8)"""
+
+
+def _crc_sql(digits: str) -> str:
+    """Unsigned crc32 of a decimal number; ``crc_table`` must be joined."""
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({digits} AS VARCHAR), ''), "
+            "lambda d: CAST(ascii(d) AS BIGINT))), lambda a, b: xor(t[1 + (xor(a, b) & 255)], a // 256)), 4294967295)")
+
+
+def _manifest_sql(levels: int) -> str:
+    """Up to 16^levels documents a source, and as many sources; above its top, a tree hands its digest on."""
+    def leaf(text):
+        return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+                                      for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    ctes = [CRC_SQL, f"""l0 AS MATERIALIZED (SELECT doc_id, source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS place,
+  {leaf('text')} AS h, {leaf("(CASE WHEN " + _crc_sql('doc_id') + f" % 5 = 0 THEN translate(text, '{A_Z}', '{A_Z_LOW}') ELSE text END)")} AS now
+  FROM documents, crc_table)"""]
+
+    def grow(name):
+        for k in range(1, levels + 1):
+            ctes.append(f"""{name}{k} AS MATERIALIZED (SELECT tree, place // 16 AS place, list(h ORDER BY place) AS run, any_value(n) AS below,
+  CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY place)) END AS h
+  FROM (SELECT tree, place, h, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k - 1}) GROUP BY tree, place // 16)""")
+
+    grow("l")
+    ctes.append(f"s0 AS MATERIALIZED (SELECT 0 AS tree, tree AS source, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place FROM l{levels})")
+    grow("s")
+    proof, fold, joins = [], "l0.now", []
+    for name in "ls":
+        if name == "s":
+            joins.append("JOIN s0 ON s0.source IS NOT DISTINCT FROM l0.tree")
+        for k in range(1, levels + 1):
+            t, slot = f"{name}{k}", f"({name}0.place // {16 ** (k - 1)}) % 16"
+            left, right = f"array_to_string({t}.run[1:{slot}], '')", f"array_to_string({t}.run[{slot} + 2:], '')"
+            joins.append(f"JOIN {t} ON {t}.tree IS NOT DISTINCT FROM {name}0.tree AND {t}.place = {name}0.place // {16 ** k}")
+            joins.append(f"CROSS JOIN LATERAL (SELECT CASE WHEN {t}.below = 1 THEN {fold} ELSE sha256({left} || {fold} || {right}) END AS h) AS f{t}")
+            proof += [left, right]
+            fold = f"f{t}.h"
+    return f"""WITH RECURSIVE {", ".join(ctes)}
+SELECT l0.doc_id, l0.h AS leaf, s0.h AS subroot, s{levels}.h AS root, sha256({" || ".join(proof)}) AS proof_sha256,
+  {fold} AS folded_root, {fold} = s{levels}.h AS verified FROM l0 {" ".join(joins)}"""
+
+
+@query("op11_merkle_manifest", _manifest_sql(4))
+def op11_merkle_manifest(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnsRenamed({"source": "vid", "doc_id": "id"})
+    edited = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
+    out = manifest.manifest(rows, Scratch(spark), fields=("id", "vid", "lang", "n_chars", "text"),
+                            now={"text": F.when(edited, F.translate("text", A_Z, A_Z_LOW)).otherwise(F.col("text"))})
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+TRIE_SQL = f"""WITH RECURSIVE {CRC_SQL},
+t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, CAST({_crc_sql('conv_id')} % 4 AS BIGINT) AS h FROM t, crc_table),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.turns[1:h], []), a.turns[h + 1:]) AS seq
+  FROM h a LEFT JOIN t b ON b.conv_id = a.conv_id - a.conv_id % 20),
+m AS (SELECT conv_id, d, seq[1:d] AS node, len(seq) AS n FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM r)),
+nodes AS MATERIALIZED (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM m GROUP BY node, d),
+own AS MATERIALIZED (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node[d].t, '[^\\x20\\x09-\\x0D]+')) END AS own FROM nodes),
+kids AS MATERIALIZED (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT own.*, coalesce(kids.n, 0) AS n_children FROM own LEFT JOIN kids USING (node, d))
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, b.n_leaves, b.saved_tokens, a.ends_sha256
+FROM whole a JOIN (SELECT x.node, x.d, count(*) FILTER (below.n_children = 0) AS n_leaves, CAST(sum(below.own) AS BIGINT) AS saved_tokens
+    FROM (SELECT unnest(range(d + 1)) AS top, * FROM whole) below, LATERAL (SELECT below.node[1:top] AS node, top AS d) AS x(node, d)
+    GROUP BY x.node, x.d) b(node, d, n_leaves, saved_tokens) ON b.node = a.node AND b.d = a.d
+  LEFT JOIN nodes p ON a.d > 0 AND p.node = a.node[1:a.d - 1] AND p.d = a.d - 1"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumnsRenamed({"conv_id": "request", "text": "content"})
+    c = F.col("request")
+    out = prompts.prompt_trie(rows, Scratch(spark), base=c - c % 20, shared=F.crc32(c.cast("string").cast("binary")) % 4)
+    return out.select(c.alias("conv_id"), "depth", F.col("parent_request").alias("parent_conv_id"), F.col("requests").alias("n_convs"),
+                      F.col("children").alias("n_children"), F.col("leaves").alias("n_leaves"), "saved_tokens", "ends_sha256")
+
+
+@query("op12_language_id")
+def op12_language_id(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vid"), "text", F.col("lang").alias("source_lang"))
+    out = languages.spoken_language(rows, Scratch(spark), learn=~held_out(F.col("vid")))
+    return out.select(F.col("vid").alias("doc_id"), held_out(F.col("vid")).alias("held_out"), F.col("source_lang").alias("lang_pred"), "score")
