@@ -73,6 +73,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in held if labels[r.doc_id] == 0) <= 0.03 * len(no)
 
 
+def test_toxicity_recall_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    known = {r[0]: (r[1], r[2]) for r in spark.read.parquet(f"{sf}/labels.parquet").join(
+        spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").select("doc_id", "toxic", "lang").collect()}
+    held = [(r.predicted, *known[r.doc_id]) for r in QUERIES["op6_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in known]
+    share = lambda rows: sum(p for p, *_ in rows) / len(rows)
+    assert share([x for x in held if x[1] == 1]) >= 0.85 and share([x for x in held if x[1] == 0]) <= 0.03
+    for lang in ("en", "fr", "de", "es"):
+        assert share([x for x in held if x[1] == 1 and x[2] == lang]) >= 0.7
+
+
 def test_licence_base_by_brute_force(spark, docs):
     import re
 
