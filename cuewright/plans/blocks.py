@@ -35,16 +35,23 @@ def neighbours(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]],
     ``pos`` must be dense within the key (``renumber`` makes it so); a window
     given to ``build`` is partitioned by (key, block) and ordered by ``pos``.
     """
+    spread, own, w = in_blocks(df, keys=keys, pos=pos, before=before, after=after, size=size)
+    return spread.withColumns(build(w)).where(F.col("_blk") == own).drop("_blk")
+
+
+def in_blocks(df: DataFrame, *, keys: tuple[str, ...] = ("vid",), pos: str = "id",
+              before: int = 1, after: int = 1, size: int = BLOCK) -> tuple[DataFrame, Column, WindowSpec]:
+    """Rows with ``_blk``, those next to an edge in both blocks; the row's own block; the block's window.
+
+    Windows by it, and groupings by key and ``_blk`` after it, share one exchange.
+    """
     own = _floor_div(F.col(pos), size)
     offset = F.col(pos) - own * size
     homes = F.array_compact(F.array(
         own,
         F.when((offset < after) & (own > 0), own - 1),
         F.when(offset >= size - before, own + 1)))
-    spread = df.withColumn("_blk", F.explode(homes))
-    w = Window.partitionBy(*keys, "_blk").orderBy(pos)
-    out = spread.withColumns(build(w))
-    return out.where(F.col("_blk") == own).drop("_blk")
+    return df.withColumn("_blk", F.explode(homes)), own, Window.partitionBy(*keys, "_blk").orderBy(pos)
 
 
 def running(df: DataFrame, totals: dict[str, tuple[str, Column]], *,
