@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, transcripts
+from .shingles import slices
 from .tokens import memory
 
 ID_BYTES = 4
@@ -25,8 +26,7 @@ def _encoder(path: str, end_id: int):
         part, before = TaskContext.get().partitionId(), 0
         words = memory(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # a bounded slice, whatever the batch size
-                piece = batch.slice(at, 256)
+            for piece in slices(batch, 512, 1_000_000):
                 ids = [x + end for x in words.encode(piece.column("text").to_pylist())]
                 sizes = [len(x) // ID_BYTES for x in ids]
                 starts = []
