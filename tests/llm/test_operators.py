@@ -358,3 +358,21 @@ def test_reach_loses_no_link(spark):
         light = min(i, j, key=lambda k: rows[k][0])
         assert rows[i][0] <= got[j] and rows[j][0] <= got[i] and got[light] >= rows[light][0]
         assert min(got[i] / rows[i][0], got[j] / rows[j][0]) >= t
+
+
+def test_a_short_notice_in_many_texts_costs_no_pairs_of_all(spark):
+    """Forty common words are no passage: what is compared grows with the texts, not with their square."""
+    notice, sizes = " ".join(voice(5, 40)), {}
+    for n in (40, 80):
+        s = Scratch(spark)
+        rows = [(k, f"{' '.join(voice(900 + k, 80))} {notice} {' '.join(voice(9000 + k, 80))}") for k in range(n)]
+        assert passages.shared_passages(scripts(spark, *rows), s).collect() == []
+        sizes[n] = sum(spark.read.parquet(f"{s.folder}/chains-{name}").count() for name in ("owned", "every"))
+        s.drop()
+    assert sizes[80] <= 4 * 80 and sizes[80] <= 2.5 * sizes[40]
+
+
+def test_runs_of_common_shingles():
+    x, y = np.arange(40), np.r_[np.arange(100, 105), np.arange(10, 30), 7, np.arange(30, 38)]
+    assert passages.common_runs(x, y)[:2] == [(20, 10, 5), (8, 30, 26)]
+    assert passages.common_runs(x[:3], y) == []
