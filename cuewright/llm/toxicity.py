@@ -73,10 +73,13 @@ def features(text: str, lexicon: Lexicon | None = None) -> list[float]:
     low = [w.lower() for w in words]
     read = plain_words(words)
     learned, heavy, close, spoken_to, learned_at = set(), 0.0, 0, -10**9, []
+    known = lexicon.known if lexicon else {}
     for i, w in enumerate(read if lexicon else ()):
         if w in SECOND:
             spoken_to = i
-        odds = lexicon[w]
+        odds = known.get(w)
+        if odds is None:
+            odds = lexicon[w]
         if odds:
             learned.add(w)
             learned_at.append(i)
@@ -194,7 +197,8 @@ def score(rows: DataFrame, flagged: DataFrame, scratch: Scratch, *, max_rows: in
         .select("text", "label", "deal", F.pmod("deal", F.lit(FOLDS)).cast("int").alias("fold"))
     learn = scratch.keep(learn, "labelled")
     odds = lexicons(learn, max_terms)
-    learn = dense(learn, odds).select("deal", "label", array_to_vector("features").alias("features"), (F.col("fold") == 0).alias("calibrate"))
+    learn = scratch.keep(dense(learn, odds), "learn-features")  # a sort reads its input twice
+    learn = learn.select("deal", "label", array_to_vector("features").alias("features"), (F.col("fold") == 0).alias("calibrate"))
     learn = scratch.keep(learn.orderBy("deal", "label").coalesce(1), "learn").coalesce(1)  # bounded by max_rows: the fit is the same wherever it runs
     dim = scratch.keep(dense(texts.withColumn("fold", F.lit(FOLDS)), odds).drop("fold"), "features")
     classes = [r[0] for r in learn.where("NOT calibrate").groupBy("label").count().orderBy("label").collect()]
