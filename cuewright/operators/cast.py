@@ -42,14 +42,19 @@ def settle_gender(stated: Column, relation: Column, names: Column) -> Column:
     return F.when(female & ~male, "f").when(male & ~female, "m").when(named != "", named).otherwise(said)
 
 
-def parse_cast(replies: DataFrame) -> DataFrame:
+def parse_cast(replies: DataFrame, *, longest_row: int | None = K.MAX_CAST_ROW, spellings_kept: int | None = K.MAX_SPELLINGS,
+               longest_relation: int | None = K.MAX_RELATION) -> DataFrame:
     """ROLE|spellings|English|gender|relation rows, without pronouns and common nouns.
 
+    Rows over ``longest_row`` characters are no cast rows; of a row's spellings the first ones are kept,
+    and the beginning of its relation. None: no limit.
+
     replies: vid, content. The first MC row is the lead (role 'MC'); later ones are NPC.
     """
     body = replies.select("vid", F.posexplode(X.split_lines(X.strip_think(F.col("content")))).alias("ord", "raw"))
     line = F.ltrim(X.strip(F.col("raw")), F.lit("-*• "))
-    body = body.withColumn("line", line).where(F.contains("line", F.lit("|")) & (F.length("line") <= K.MAX_CAST_ROW))
+    body = body.withColumn("line", line).where(
+        F.contains("line", F.lit("|")) & (F.lit(True) if longest_row is None else F.length("line") <= longest_row))
     field = lambda f, i: F.get(f, F.lit(i))
     spellings = lambda s: F.filter(F.transform(F.split(s, ","), X.strip), lambda x: x != "")
     fields = X.let(F.transform(F.split("line", r"\|"), X.strip), lambda f: X.rec(
@@ -61,8 +66,8 @@ def parse_cast(replies: DataFrame) -> DataFrame:
     first = F.get("names", F.lit(0))
     rows = rows.where(~is_pronoun(first, F.col("en")) & ~is_generic(first, F.col("en")))
     sex = settle_gender(F.col("said"), F.col("relation"), F.col("names"))
-    cast = rows.select("vid", F.col("ord").cast("bigint").alias("ord"), "role", F.slice("names", 1, K.MAX_SPELLINGS).alias("names"),
-                       "en", sex.alias("sex"), F.substring("relation", 1, K.MAX_RELATION).alias("relation"))
+    cast = rows.select("vid", F.col("ord").cast("bigint").alias("ord"), "role", (F.col("names") if spellings_kept is None else F.slice("names", 1, spellings_kept)).alias("names"),
+                       "en", sex.alias("sex"), (F.col("relation") if longest_relation is None else F.substring("relation", 1, longest_relation)).alias("relation"))
     return pick_lead(cast)
 
 
@@ -72,8 +77,8 @@ def pick_lead(cast: DataFrame) -> DataFrame:
         "role", F.when(F.col("ord") == F.col("_lead"), "MC").otherwise("NPC")).drop("_lead")
 
 
-def format_cast(cast: DataFrame, narrated: DataFrame) -> DataFrame:
-    """(vid, chart): the lead's paragraph, or the unnamed narrator's, then up to thirty others."""
+def format_cast(cast: DataFrame, narrated: DataFrame, *, others: int | None = K.MAX_CHART_ROWS) -> DataFrame:
+    """(vid, chart): the lead's paragraph, or the unnamed narrator's, then the first ``others`` (None: all)."""
     w = Window.partitionBy("vid").orderBy("ord")
     who = F.array_join("names", ", ")
     # Fixed formats: the audit looks for the opening words of either paragraph.
@@ -83,8 +88,9 @@ def format_cast(cast: DataFrame, narrated: DataFrame) -> DataFrame:
         F.when(F.col("relation") == "", "the narrator").otherwise(F.col("relation")),
         F.lit('. Narration is "I", "me", "my"; others speak of them as '), him, F.lit(".")), "ord").alias("lead"))
     gender = F.when(F.col("sex") == "f", "female - she/her").when(F.col("sex") == "m", "male - he/him").otherwise("?")
-    rest = cast.where("role = 'NPC'").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= K.MAX_CHART_ROWS) \
-        .withColumn("row", F.concat(F.lit("  "), who, F.lit(" = "), "en", F.lit(" ("), gender, F.lit(")"),
+    rest = cast.where("role = 'NPC'")
+    rest = rest if others is None else rest.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= others)
+    rest = rest.withColumn("row", F.concat(F.lit("  "), who, F.lit(" = "), "en", F.lit(" ("), gender, F.lit(")"),
                                     F.when(F.col("relation") == "", "").otherwise(F.concat(F.lit(" - "), F.col("relation"))))) \
         .groupBy("vid").agg(F.concat(F.lit("\nEVERYONE ELSE:\n"), ordered_text("ord", F.col("row"), "\n")).alias("rest"))
     unnamed = F.lit("The narrator and main character of this video is never named; every narration line is theirs.")

@@ -103,16 +103,16 @@ def admit(videos: DataFrame, action: str) -> DataFrame:
 
 
 def line_at(lines: DataFrame, moments: DataFrame, step_ms: int = 10_000) -> DataFrame:
-    """The line on screen at each moment (vid, at_ms): the first that covers it.
+    """The line on screen at each moment (vid, at_ms): the first that covers it, NULL where none does.
 
     An interval join made equal on ten-second buckets, so it never compares all pairs.
     """
     spans = lines.where("end_ms > start_ms").withColumn("_b", F.explode(F.sequence(
         F.floor(F.col("start_ms") / step_ms), F.floor((F.col("end_ms") - 1) / step_ms))))
     asked = moments.withColumn("_b", F.floor(F.col("at_ms") / step_ms))
-    hits = asked.join(spans.select("vid", "_b", "id", "start_ms", "end_ms"), ["vid", "_b"]) \
-        .where("at_ms >= start_ms AND at_ms < end_ms")
-    return hits.groupBy(*moments.columns).agg(F.min("id").alias("id"))
+    pairs = asked.join(spans.select("vid", "_b", "id", "start_ms", "end_ms"), ["vid", "_b"], "left")
+    covers = (F.col("at_ms") >= F.col("start_ms")) & (F.col("at_ms") < F.col("end_ms"))
+    return pairs.groupBy(*moments.columns).agg(F.min(F.when(covers, F.col("id"))).alias("id"))
 
 
 def line_marks(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as K
 from ..functions import text as X
 from ..plans.blocks import BLOCK, neighbours, positions, running
+from ..plans.ranking import ranked
 from ..session import settle
 
 TIME_BUCKET_MS = 600_000
@@ -428,9 +429,8 @@ def _merge_long(runs: DataFrame, block: int) -> DataFrame:
 
 
 def renumber(lines: DataFrame, order: tuple[str, ...] = ("start_ms", "seq"), name: str = "id") -> DataFrame:
-    """Number lines 0..n-1 by start; ``order`` must leave no ties."""
-    base = lines.drop(name) if name in lines.columns else lines
-    return positions(base, name, order, bucket=F.floor(F.col("start_ms") / TIME_BUCKET_MS))
+    """Number lines 0..n-1 by start, by sample sort; ``order`` must leave no ties."""
+    return ranked(lines.drop(name), name, order, keep=settle)
 
 
 def assemble(raw: DataFrame, fixes: DataFrame | None = None, **repair) -> DataFrame:

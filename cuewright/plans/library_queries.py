@@ -403,7 +403,7 @@ def _(spark, sf_dir):
 
 
 @query("l11_line_at", V.with_lines("""moments AS (SELECT user_id AS vid, event_id, CAST(floor(value * 1000) AS BIGINT) AS at_ms FROM events)
-SELECT m.vid, m.event_id, m.at_ms, min(l.id) AS id FROM moments m JOIN lines l ON l.vid = m.vid AND m.at_ms >= l.start_ms AND m.at_ms < l.end_ms GROUP BY ALL"""))
+SELECT m.vid, m.event_id, m.at_ms, min(l.id) AS id FROM moments m LEFT JOIN lines l ON l.vid = m.vid AND m.at_ms >= l.start_ms AND m.at_ms < l.end_ms GROUP BY ALL"""))
 def _(spark, sf_dir):
     m = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("vid"), "event_id", F.floor(F.col("value") * 1000).cast(BIG).alias("at_ms"))
     return L.line_at(V.lines(spark, sf_dir), m)

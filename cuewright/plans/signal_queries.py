@@ -57,6 +57,17 @@ def _(spark, sf_dir):
     return flat(M.fade(_signal(spark, sf_dir), 8.0, 1000))
 
 
+_RAMPS = "CASE WHEN i < {n} THEN i / {k}.0::DOUBLE ELSE 1 END * CASE WHEN i >= {m} THEN ({e} - i) / {k}.0::DOUBLE ELSE 1 END"
+
+
+@query("m03_fit_clip", f"""WITH {SIG} SELECT vid, block, i, {rnd('x * CASE WHEN block % 3 = 1 THEN ' + _RAMPS.format(n=20, k=19, m=20, e=39) + ' ELSE '
+  + _RAMPS.format(n=8, k=7, m=56, e=63) + ' END')} AS x FROM sig WHERE block % 3 <> 1 OR i < 40""")
+def _(spark, sf_dir):
+    """Every third clip has room for 40 of its 64 samples, every third for more, every third no limit."""
+    limit = F.when(F.col("block") % 3 == 1, 40.0).when(F.col("block") % 3 == 2, 100.0)
+    return flat(M.fit_clip(_signal(spark, sf_dir).withColumn("limit_ms", limit), 1000))
+
+
 FRAMES = "fr AS (SELECT vid, pos // 16 AS frame, avg(abs(x)) AS energy FROM sig GROUP BY ALL)"
 
 

@@ -142,6 +142,15 @@ def _(spark, sf_dir):
     return D.dub_stats(_plan(spark, sf_dir))
 
 
+@query("d15_failed_lines", V.with_lines(SLOT_SQL + f""", st AS ({STATS_SQL}), lost AS (SELECT vid, count(*) AS failed FROM lines
+  WHERE trim(en, {STRIP}) <> '' AND id % 11 = 3 GROUP BY vid)
+SELECT coalesce(st.vid, lost.vid) AS vid, coalesce(lines, 0) AS lines, coalesce(compressed, 0) AS compressed, coalesce(crowded, 0) AS crowded,
+  coalesce(clipped, 0) AS clipped, coalesce(max_rate_milli, 1000) AS max_rate_milli, coalesce(failed, 0) AS failed FROM st FULL JOIN lost ON st.vid = lost.vid"""))
+def _(spark, sf_dir):
+    """Renders of every eleventh line have failed."""
+    return D.with_failed(D.dub_stats(_plan(spark, sf_dir)), V.lines(spark, sf_dir), V.renders(spark, sf_dir).where("id % 11 <> 3"))
+
+
 STAMP_SQL = """parts AS (SELECT vid, id // 16 AS b, substr(sha1(string_agg(id || ':' || start_ms || ':' || en, chr(31) ORDER BY id)), 1, 16) AS p FROM lines GROUP BY vid, b),
 digests AS (SELECT vid, substr(sha1(string_agg(p, chr(31) ORDER BY b)), 1, 16) AS d FROM parts GROUP BY vid),
 stamps AS (SELECT vid, substr(sha1('voice|0|0|0|1.7|0|||' || d), 1, 16) AS stamp FROM digests)"""

@@ -111,9 +111,11 @@ def _(spark, sf_dir):
     return B.fit_batches(V.lines(spark, sf_dir), 2700, 3600)
 
 
-@query("b09_fit_batches_reasoning")
+@query("b09_fit_pending", V.with_lines(FIT_SQL + """SELECT vid, lo, hi, cost FROM costed WHERE (cost <= 3600 OR hi - lo = 1)
+  AND (vid, lo // 30) IN (SELECT (vid, id // 30) FROM lines WHERE id % 97 = 5)""", True))
 def _(spark, sf_dir):
-    return B.fit_batches(V.lines(spark, sf_dir), 1900, 8000, reasoning=True)
+    ln = V.lines(spark, sf_dir)
+    return B.fit_batches(ln, 2700, 3600, B.batch_grid(ln.where("id % 97 = 5")).select("vid", "batch"))
 
 
 ASSIGN_SQL = BATCH_SQL + """,
@@ -247,8 +249,9 @@ LINE_BREAK = K.LINE_BREAK
 REPLY_SQL = BATCH_SQL + f"""
 ,src AS (SELECT vid, batch, id, regexp_replace(en, '["\\n]', ' ', 'g') AS en FROM grid WHERE id % 13 <> 5),
 rw AS (SELECT vid, batch, string_agg(CASE id % 7 WHEN 1 THEN ' - ' || id || ' | ' || en WHEN 2 THEN id || '|42| ' || en
-    WHEN 3 THEN id || '|"' || en || '"' || chr(10) || id || '|again ' || en ELSE id || '|' || en END, chr(10) ORDER BY id) AS rows FROM src GROUP BY vid, batch),
-rep AS (SELECT vid, batch, (vid + batch) % 10 AS kind, CASE (vid + batch) % 10 WHEN 7 THEN '{{}}' WHEN 8 THEN 'I cannot help with that | sorry'
+    WHEN 3 THEN id || '|"' || en || '"' || chr(10) || id || '|again ' || en ELSE id || '|' || en END, chr(10) ORDER BY id) AS rows,
+  to_json(list({{'id': id, 'en': en}} ORDER BY id)) AS items FROM src GROUP BY vid, batch),
+rep AS (SELECT vid, batch, (vid + batch) % 10 AS kind, CASE (vid + batch) % 10 WHEN 7 THEN '{{"lines":' || items || '}}' WHEN 8 THEN 'I cannot help with that | sorry'
     WHEN 9 THEN '<think>1|no' || chr(10) || '2|no</think>' || chr(10) || 'Here:' || chr(10) || rows ELSE rows END AS content FROM rw),
 raw0 AS (SELECT vid, batch, kind, unnest(string_split(c, chr(10))) AS l, unnest(range(len(string_split(c, chr(10))))) AS pos
    FROM (SELECT *, trim(regexp_replace(content, '(?s)<think>.*?</think>', '', 'g'), {STRIP}) AS c FROM rep)),
@@ -261,9 +264,9 @@ parsed AS (SELECT vid, batch, id, max_by(en, pos) AS en FROM (SELECT * FROM fixd
 """
 
 
-@query("r01_strip_think", sql(f"SELECT vid, batch, trim(regexp_replace(content, '(?s)<think>.*?</think>', '', 'g'), {STRIP}) AS content FROM rep WHERE kind <> 7", REPLY_SQL))
+@query("r01_strip_think", sql(f"SELECT vid, batch, trim(regexp_replace(content, '(?s)<think>.*?</think>', '', 'g'), {STRIP}) AS content FROM rep", REPLY_SQL))
 def _(spark, sf_dir):
-    return _replies(spark, sf_dir).where("(vid + batch) % 10 <> 7").select("vid", "batch", X.strip_think(F.col("content")).alias("content"))
+    return _replies(spark, sf_dir).select("vid", "batch", X.strip_think(F.col("content")).alias("content"))
 
 
 @query("r02_parse_reply", sql("SELECT vid, batch, id, en FROM parsed", REPLY_SQL))
@@ -271,9 +274,9 @@ def _(spark, sf_dir):
     return R.parse_reply(_replies(spark, sf_dir))
 
 
-@query("r03_echoed_budget", sql("SELECT vid, batch, id, en FROM fixd WHERE id % 7 = 2", REPLY_SQL))
+@query("r03_echoed_budget", sql("SELECT vid, batch, id, en FROM fixd", REPLY_SQL))
 def _(spark, sf_dir):
-    return R.reply_rows(_replies(spark, sf_dir)).where("id % 7 = 2").select("vid", "batch", "id", "en")
+    return R.reply_rows(_replies(spark, sf_dir)).select("vid", "batch", "id", "en")
 
 
 @query("r04_json_reply", sql("SELECT vid, batch, id, en FROM js", REPLY_SQL))
@@ -281,7 +284,7 @@ def _(spark, sf_dir):
     return R.parse_reply(_replies(spark, sf_dir).where("content LIKE '{%'"))
 
 
-@query("r05_rejects", sql("SELECT vid, batch, content FROM rep WHERE kind <> 7 AND (vid, batch) NOT IN (SELECT (vid, batch) FROM parsed)", REPLY_SQL))
+@query("r05_rejects", sql("SELECT vid, batch, content FROM rep WHERE (vid, batch) NOT IN (SELECT (vid, batch) FROM parsed)", REPLY_SQL))
 def _(spark, sf_dir):
     return R.rejects(_replies(spark, sf_dir))
 
@@ -292,9 +295,9 @@ REPAIR_ROW = f"regexp_extract(whole, '^[{WS}]*[-*• ]*(\\d{{1,7}})[{WS}]*\\|(.*
 @query("r06_parse_repair", sql(f"""SELECT vid, batch, id, max_by(t, pos) AS new FROM (SELECT vid, batch, pos,
   CAST(regexp_extract(whole, '^[{WS}]*[-*• ]*(\\d{{1,7}})[{WS}]*\\|(.*)$', 1) AS BIGINT) AS id,
   trim(trim(list_extract(string_split({REPAIR_ROW}, '|'), -1), {STRIP}), '"') AS t
-  FROM trimmed WHERE kind <> 7 AND regexp_matches(whole, '^[{WS}]*[-*• ]*\\d{{1,7}}[{WS}]*\\|')) WHERE t <> '' GROUP BY vid, batch, id""", REPLY_SQL))
+  FROM trimmed WHERE regexp_matches(whole, '^[{WS}]*[-*• ]*\\d{{1,7}}[{WS}]*\\|')) WHERE t <> '' GROUP BY vid, batch, id""", REPLY_SQL))
 def _(spark, sf_dir):
-    return R.parse_repair(_replies(spark, sf_dir).where("(vid + batch) % 10 <> 7"))
+    return R.parse_repair(_replies(spark, sf_dir))
 
 
 @query("r07_apply_reply", sql(f"""SELECT l.vid, l.id, CASE WHEN a.batch IS NULL THEN l.en ELSE coalesce(trim(p.en, {STRIP}), '') END AS en FROM grid l
