@@ -2,11 +2,14 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from cuewright.plans.ranking import ranked
 from cuewright.session import shared_folder
 
 #: A missing vid sorts behind every other one inside the operators and comes out as NULL again.
@@ -47,6 +50,33 @@ class Scratch:
             pass
 
 
+def any_ids(*columns: str, key: str = "vid"):
+    """Let an operator that works with whole numbers take ids of any type that sorts.
+
+    Other ids are numbered by their rank, so the smallest id has the smallest number, and ``columns`` of the
+    result get their ids back. Tables with the key among the further arguments are numbered alike.
+    """
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(rows: DataFrame, *args, **settings):
+            if isinstance(rows.schema[key].dataType, IntegralType):
+                return operator(rows, *args, **settings)
+            scratch = Scratch(rows.sparkSession)
+            known = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.lit(0).alias("_all")).distinct()
+            ids = ranked(scratch.keep(known, "known"), "_number", ("_id",), keys=("_all",), keep=lambda df: scratch.keep(df, "ranked"))
+            ids = scratch.keep(ids.select("_id", "_number"), "ids")
+
+            def numbered(df: DataFrame) -> DataFrame:
+                return df.join(ids, F.col(key) == F.col("_id"), "left").withColumn(key, F.col("_number")).drop("_id", "_number")
+
+            out = operator(numbered(rows), *[numbered(a) if isinstance(a, DataFrame) and key in a.columns else a for a in args], **settings)
+            for c in columns:
+                out = out.join(ids, F.col(c) == F.col("_number"), "left").withColumn(c, F.col("_id")).drop("_id", "_number")
+            return out
+        return run
+    return wrap
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every ``hi`` has one ``lo`` and no ``lo`` is a ``hi``."""
     ends = edges.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")) \

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_VID, Scratch, transcripts
+from .common import NO_VID, Scratch, any_ids, transcripts
 
 SLOTS, KICKS = 4, 400
 STATE = "shard bigint, digest binary, vid bigint, copies bigint, cells binary"
@@ -165,6 +165,7 @@ class DigestIndex:
         self.rows = self.scratch.keep(named.select("shard", "digest", "vid", "copies", "cells"), f"index-{self.version}")
 
 
+@any_ids("vid", "keep_vid")
 def exact_copies(rows: DataFrame, scratch: Scratch, index: DigestIndex | None = None) -> DataFrame:
     """Per transcript: ``vid, digest, keep_vid, copies, kept``; the smallest vid of equal texts stays.
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import transcripts
+from .common import any_ids, transcripts
 from .spans import spans
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -135,6 +135,7 @@ def _places(words: Column, phrase: tuple[str, ...]) -> Column:
     return F.filter(starts, hit)
 
 
+@any_ids("vid")
 def licence_scan(rows: DataFrame, *, rules=SIGNATURES) -> DataFrame:
     """Per transcript: ``vid, n_words, places array<struct<word:int,label:string>>, hits, labels, score``.
 

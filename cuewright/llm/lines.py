@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_VID, Scratch, transcripts
+from .common import NO_VID, Scratch, any_ids, transcripts
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -71,6 +71,7 @@ class LineRuns:
             self.scratch.drop(name)
 
 
+@any_ids("vid")
 def dedup_lines(rows: DataFrame, scratch: Scratch, *, min_chars: int = 40, min_docs: int = 5,
                 batches: int = 3, fanout: int = 2) -> DataFrame:
     """Per transcript: ``vid, text, n_lines, n_dropped``; repeated long lines stay in one transcript.

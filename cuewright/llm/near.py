@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_VID, Scratch, components, transcripts
+from .common import NO_VID, Scratch, any_ids, components, transcripts
 from .shingles import counted, mix, slices
 
 BANDS, BINS = 14, 5          # by the formula, finds a pair at 0.8 with probability 0.996, at 0.85 with 0.9997
@@ -211,6 +211,7 @@ def shingle_levels(docs: DataFrame, scratch: Scratch) -> tuple[int, DataFrame]:
     return total, levels.groupBy("vid", "mark").agg(F.any_value("levels").alias("levels"))
 
 
+@any_ids("vid", "class_vid")
 def near_classes(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.8, max_leaders: int | None = None) -> DataFrame:
     """Per transcript: ``vid, class_vid, class_size, kept``; the smallest vid of a class stays.
 

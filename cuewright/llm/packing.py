@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, transcripts
+from .common import Scratch, any_ids, transcripts
 from .shingles import slices
 from .tokens import memory
 
@@ -39,6 +39,7 @@ def _encoder(path: str, end_id: int):
     return run
 
 
+@any_ids("vid")
 def pack(rows: DataFrame, scratch: Scratch, *, tokenizer: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """Per piece: ``vid, start, length, tokens, doc_tokens, sequence_id, offset, opens, closes``.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import transcripts
+from .common import any_ids, transcripts
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -152,6 +152,7 @@ def _model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+@any_ids("vid")
 def encode(rows: DataFrame, *, model: str) -> DataFrame:
     """``vid, ids array<int>`` per transcript. A NULL or empty text has no ids; a NULL vid is passed on.
 
@@ -170,6 +171,7 @@ def encode(rows: DataFrame, *, model: str) -> DataFrame:
     return transcripts(rows).mapInArrow(run, "vid bigint, ids array<int>")
 
 
+@any_ids("vid")
 def decode(rows: DataFrame, *, model: str) -> DataFrame:
     """``vid, ids, text`` for rows of ``vid, ids``; NULL ids decode to an empty text."""
     def run(batches):

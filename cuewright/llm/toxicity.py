@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, transcripts
+from .common import Scratch, any_ids, transcripts
 
 # Words that insult, in the four languages the transcripts come in.
 INSULTS = frozenset("""
@@ -176,6 +176,7 @@ def lexicons(learn: DataFrame, max_terms: int) -> list[dict[str, float]]:
     return out
 
 
+@any_ids("vid")
 def score(rows: DataFrame, flagged: DataFrame, scratch: Scratch, *, max_rows: int = 20_000, max_terms: int = 20_000, trees: int = 20, depth: int = 3,
           threshold: float = 0.3, seed: int = 7) -> DataFrame:
     """Per transcript: ``vid, score, toxic``; ``toxic`` where the calibrated score reaches ``threshold``.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, any_ids, components
 
 MISS = 1e-4        # probability that no band holds a pair at the threshold
 SIGMAS = 6.0       # standard deviations a pair may lie off its estimate
@@ -168,6 +168,7 @@ def _deal(rows: DataFrame, total: int) -> DataFrame:
     return rows.withColumn("deal", F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-total // GROUP_ROWS))))).groupBy("deal")
 
 
+@any_ids("voice", "component", key="voice")
 def near_voices(rows: DataFrame, scratch: Scratch, *, threshold: float = 0.98) -> DataFrame:
     """Per embedding: ``voice, n_links, component, kept``.
 

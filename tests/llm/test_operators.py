@@ -376,3 +376,23 @@ def test_runs_of_common_shingles():
     x, y = np.arange(40), np.r_[np.arange(100, 105), np.arange(10, 30), 7, np.arange(30, 38)]
     assert passages.common_runs(x, y)[:2] == [(20, 10, 5), (8, 30, 26)]
     assert passages.common_runs(x[:3], y) == []
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_ids_that_are_no_numbers(spark, name):
+    """Videos are named by strings; an operator gives them what it gives their ranks."""
+    rows = [(k, " ".join(voice(k // 2, 60)) + f"\npassword = hunter{k // 4}hunter MIT license") for k in range(8)] + [(8, None), (None, "a b c d e f"), (9, LONG[:9000])]
+    named = lambda v: None if v is None else f"v{v}"
+    numbers = OPERATORS[name](scripts(spark, *rows), Scratch(spark))
+    strings = OPERATORS[name](spark.createDataFrame([(named(v), t) for v, t in rows], "vid string, text string"), Scratch(spark))
+    ids = [c for c in numbers.columns if c.endswith("vid")]
+    assert strings.columns == numbers.columns and all(dict(strings.dtypes)[c] == "string" for c in ids)
+    left = [c for c in numbers.columns if c not in ("sequence_id", "offset")]
+    want = numbers.select(*[F.concat(F.lit("v"), F.col(c).cast("string")).alias(c) if c in ids else F.col(c) for c in left])
+    assert sorted(map(str, strings.select(*left).collect())) == sorted(map(str, want.collect()))
+
+
+def test_voices_named_by_strings(spark, scratch):
+    rows = spark.createDataFrame([("b", "en", [1.0, 0.0]), ("a", "en", [1.0, 0.001]), ("c", "fr", [1.0, 0.0])], "voice string, language string, embedding array<double>")
+    assert {tuple(r) for r in voices.near_voices(rows, scratch).select("voice", "n_links", "component", "kept").collect()} == {
+        ("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True)}
