@@ -108,9 +108,11 @@ def redact(versions: DataFrame, ledger: DataFrame, *, mask: str = "[secret]") ->
 
     Overlapping spans become one mask. A text without findings, NULL included, is left as it is.
     """
-    rows = versions.withColumn("_blob", blob_of(F.col("text"))) \
-        .join(ledger.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")),
-              "_blob", "left")
+    blob, found = "_blob", "_found"
+    while {blob, found} & set(versions.columns):  # names that no column has
+        blob, found = blob + "_", found + "_"
+    rows = versions.withColumn(blob, blob_of(F.col("text"))) \
+        .join(ledger.where(F.size("findings") > 0).select(F.col("blob").alias(blob), F.col("findings").alias(found)), blob, "left")
     text = F.col("text")
 
     def step(acc, f):
@@ -118,9 +120,9 @@ def redact(versions: DataFrame, ledger: DataFrame, *, mask: str = "[secret]") ->
         return F.struct(F.greatest(acc["at"], f["end"]).alias("at"),
                         F.when(f["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask)))
                         .otherwise(acc["out"]).alias("out"))
-    done = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn("text", F.when(F.col("_found").isNotNull(), done).otherwise(text)).select(*versions.columns)
+    return rows.withColumn("text", F.when(F.col(found).isNotNull(), done).otherwise(text)).select(*versions.columns)
 
 
 def span_list(findings: Column) -> Column:

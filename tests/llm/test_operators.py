@@ -396,3 +396,8 @@ def test_voices_named_by_strings(spark, scratch):
     rows = spark.createDataFrame([("b", "en", [1.0, 0.0]), ("a", "en", [1.0, 0.001]), ("c", "fr", [1.0, 0.0])], "voice string, language string, embedding array<double>")
     assert {tuple(r) for r in voices.near_voices(rows, scratch).select("voice", "n_links", "component", "kept").collect()} == {
         ("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True)}
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "password = hunter2hunter2", "mine", "too")], "vid bigint, text string, _blob string, _found string")
+    assert list(map(tuple, secrets.redact(df, secrets.scan(df)).collect())) == [(1, "[secret]", "mine", "too")]
