@@ -218,6 +218,23 @@ def _(spark, sf_dir):
     return bucket_state_table(stream, base).withColumn("reset_at_s", F.floor("reset_at_s").cast("bigint"))
 
 
+@query("b18_budget", f"""WITH {V.REQUESTS_SQL}, {STATE_SQL},
+lim AS (SELECT key_id, model, arg_max(lim, ts_s * 10000000 + event_id) FILTER (WHERE http_status < 400 AND lim IS NOT NULL) AS lim,
+  max(ts_s) FILTER (WHERE http_status < 400) AS seen, max(ts_s // 86400) AS day
+  FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 6000 + 1000 * key_id END AS lim FROM requests) GROUP BY key_id, model)
+SELECT st.key_id, st.model, remaining, reset_at_s, CASE WHEN (reset_at_s - 30) // 86400 > day THEN NULL ELSE exhausted END AS exhausted,
+  lim AS "limit", coalesce(lim, 8000) AS headroom, CASE WHEN lim > 0
+  THEN least(lim, remaining + CAST(floor(lim * greatest(reset_at_s - 30 - seen, 0) / 60.0) AS BIGINT)) ELSE remaining END AS level,
+  CAST(CASE WHEN remaining IS NULL OR remaining >= 5000 THEN 0 ELSE 30 END AS BIGINT) AS wait_s
+FROM st JOIN lim ON st.key_id = lim.key_id AND st.model = lim.model""")
+def _(spark, sf_dir):
+    """Every bucket half a minute before its own reset, for a request of 5,000 tokens."""
+    now = F.floor("reset_at_s").cast("bigint") - 30
+    log = V.requests(spark, sf_dir).withColumn("limit", F.when(F.col("event_id") % 3 == 0, 6000 + 1000 * F.col("key_id")))
+    state = B.bucket_state(log, now_s=now).withColumn("reset_at_s", F.floor("reset_at_s").cast("bigint"))
+    return state.withColumn("headroom", F.col("headroom").cast("bigint")).withColumn("wait_s", B.would_wait(F.lit(5000), now).cast("bigint"))
+
+
 @query("b19_reassign", V.with_lines(ASSIGN_SQL + f", {V.REQUESTS_SQL}, {STATE_SQL}," + """
 live AS (SELECT key_id, model, row_number() OVER (ORDER BY key_id, model) - 1 AS k, count(*) OVER () AS n FROM st WHERE exhausted IS NULL),
 dead AS (SELECT * FROM st WHERE exhausted IS NOT NULL)

@@ -5,6 +5,8 @@ import re
 import pytest
 
 from cuewright.operators import audit as Q
+from cuewright.operators import batching as B
+from cuewright.operators import library as L
 from pyspark.sql import functions as F
 
 LINES = "vid string, id bigint, start_ms bigint, end_ms bigint, text string, en string"
@@ -68,3 +70,22 @@ def test_the_later_of_two_rewrites_is_tried(spark):
     assert {r.id: r.en for r in Q.accept_repairs(audited, None, fixes).collect()} == {0: "All went home early.", 1: "Fine words here."}
     assert {r.id: r.en for r in Q.accept_repairs(df, Q.audit(df, told), fixes, told).collect()} == {0: "All went home early.", 1: "Fine words here."}
     assert [tuple(r) for r in Q.polish_stats(None, Q.accept_repairs(audited, None, fixes)).collect()] == [("v", 1, 1)]
+
+
+def test_bucket_refills_and_a_new_day_begins(spark):
+    log = spark.createDataFrame([(1, 100, "k", "m", 200, 3000, "30s", "", 6000), (2, 110, "k", "m", 200, 1000, "50s", "", None),
+                                 (3, 120, "k", "m", 429, None, "", "tokens per day (TPD). Please try again in 1m0s.", None)],
+                                "event_id long, ts_s long, key_id string, model string, http_status int, remaining long, reset_after string, message string, `limit` long")
+    at = lambda now: B.bucket_state(log, now_s=F.lit(now)).first()
+    early, late = at(120), at(86_400)
+    assert (early["limit"], early["headroom"], early["level"], early["remaining"], early["reset_at_s"]) == (6000, 6000, 2000, 1000, 160.0)
+    assert early["exhausted"] == "resets in 1m0s" and late["exhausted"] is None and late["level"] == 6000
+    assert B.bucket_state(log.withColumn("limit", F.lit(None).cast("long"))).first()["headroom"] == 8000
+    wait = lambda cost: B.bucket_state(log).select(B.would_wait(F.lit(cost), F.lit(130)).alias("w")).first()["w"]
+    assert (wait(900), wait(2000)) == (0.0, 30.0)
+
+
+def test_moments_without_a_line_stay(spark):
+    lines = spark.createDataFrame([("v", 0, 0, 1000), ("v", 1, 500, 25_000)], "vid string, id long, start_ms long, end_ms long")
+    moments = spark.createDataFrame([("v", 600), ("v", 24_999), ("v", 30_000), ("w", 5)], "vid string, at_ms long")
+    assert {(r.vid, r.at_ms): r.id for r in L.line_at(lines, moments).collect()} == {("v", 600): 0, ("v", 24_999): 1, ("v", 30_000): None, ("w", 5): None}
