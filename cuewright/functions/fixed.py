@@ -22,12 +22,10 @@ QUOTES = "\"“”"
 # ---- recogniser ---------------------------------------------------------------
 CHUNK_MS = 900_000
 SNAP_MS = 45_000
-MIN_AFTER_CUT_MS = 60_000
 TAIL_MS = 30_000
 LEAD_MS = 2_500
 MAX_UPLOAD_BYTES = 24 * 1024 * 1024
 MIN_CHUNK_MS = 30_000
-PAUSE_LEVELS_DB = (-32, -26, -20)
 COLLAPSED_MS = 8_000
 COLLAPSED_RATIO = 0.55
 COLLAPSED_MIN_WORDS = 6
@@ -167,6 +165,5 @@ LOCALE_ORDER = ("en-US", "en-GB", "en-AU", "en-CA", "en-IE")
 DEFAULT_BASE_VOICE = "en-US-AndrewMultilingualNeural"
 
 # ---- windows -------------------------------------------------------------------------
-FIRST_WINDOW_MS = 45_000
 WINDOW_CAP_MS = 300_000
 SEGMENT_MS = 6_000
