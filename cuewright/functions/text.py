@@ -74,8 +74,11 @@ def cue_clock(ms, separator: str = ",") -> Column:
         _pad(F.floor(t % 60_000 / 1000), 2), F.lit(separator), _pad(t % 1000, 3))
 
 
-# A word may also be parted after a hyphen between two letters-only halves.
-_AFTER_HYPHEN = r"(?<=\w[^0-9\W]-)(?=\w+[^0-9\W])"
+_EDGE = "\x1f"  # white space to words(), so that no piece has it
+# A word may also be parted after a hyphen between letters, and on both sides of a dash of several hyphens.
+_LETTER, _BEFORE_DASH = r"[^\d\W]", r"[\w!\"'&.,?]"
+_AFTER_HYPHEN = rf"(?U)(?:(?<={_LETTER}{{2}}-)|(?<={_LETTER}-{_LETTER}-))(?={_LETTER}-?{_LETTER})" \
+                rf"|(?<={_BEFORE_DASH})(?=-{{2,80}}\w)|(?<={_BEFORE_DASH}-{{2,80}})(?=\w)"
 
 
 def _chunks(col) -> Column:
@@ -84,47 +87,67 @@ def _chunks(col) -> Column:
         F.split(w, _AFTER_HYPHEN), lambda p, i: rec(g=F.when(i == 0, " ").otherwise(""), w=p))))
 
 
+def _cut_at(word: Column, room: Column) -> Column:
+    """Characters of a long word that go on a line with ``room``: up to its last hyphen there, if a letter precedes one."""
+    hyphen = F.length(F.regexp_extract(F.substr(word, F.lit(1), room), r"^[\s\S]*[^-][\s\S]*-", 0))
+    return F.when(hyphen > 0, hyphen).otherwise(room)
+
+
+def _pieces(word: Column, width: int) -> Column:
+    """A long word line by line; only the last piece may be shorter for want of more."""
+    def step(acc, _):
+        size = _cut_at(acc["rest"], F.lit(width))
+        return F.when(F.length(acc["rest"]) <= width, acc).otherwise(
+            rec(out=F.concat(acc["out"], F.array(F.substr(acc["rest"], F.lit(1), size))), rest=F.substr(acc["rest"], size + 1)))
+    none = F.array().cast("array<string>")  # a piece has two characters at least
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(word) / 2).cast("int")), rec(out=none, rest=word), step,
+                       lambda acc: F.when(acc["rest"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["rest"]))))
+
+
 def wrap_cue(col, width: int = 42, lines: int = 2) -> Column:
     """Greedy word wrap to ``width``; text past the last line ends in an ellipsis.
 
     One fold over the pieces keeps the finished lines and the open one; a piece
-    longer than a line is cut at the line edge.
+    longer than a line is cut at its last hyphen that fits, else at the line edge.
     """
     flat = F.array_join(words(col), " ")
     none = F.array().cast("array<string>")
+    # cur is the open line, marked the same with _EDGE between its pieces, done holds marked lines
 
     def step(acc, c):
         cur, word = acc["cur"], c["w"]
         glue = F.when(cur == "", "").otherwise(c["g"])
+        edge = F.when(cur == "", "").otherwise(_EDGE)
         spaced = F.concat(cur, glue, word)
         room = F.lit(width) - F.length(cur) - F.length(glue)
-        head = F.when(room >= 1, F.concat(cur, glue, F.substr(word, F.lit(1), room))).otherwise(cur)
-        rest = F.when(room >= 1, F.substr(word, room + 1)).otherwise(word)
-        pieces = F.filter(F.transform(
-            F.sequence(F.lit(0), F.floor(F.length(rest) / width).cast("int")),
-            lambda i: F.substr(rest, i * width + 1, F.lit(width))), lambda p: p != "")
-        filled = F.concat(acc["done"], F.array(head), pieces)
-        return F.when(F.length(spaced) <= width, rec(done=acc["done"], cur=spaced)) \
-            .when(F.length(word) > width, rec(done=F.slice(filled, F.lit(1), F.size(filled) - 1), cur=F.element_at(filled, -1))) \
-            .otherwise(rec(done=F.concat(acc["done"], F.array(cur)), cur=word))
-
-    folded = F.aggregate(_chunks(col), rec(done=none, cur=F.lit("")), step,
-                         lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-
-    def shown(all_lines):
+        size = _cut_at(word, room)
+        # a space that just fits stays at the end of the line
+        head = F.when(room >= 1, F.concat(acc["marked"], edge, glue, F.substr(word, F.lit(1), size))) \
+            .when((room == 0) & (glue == " "), F.concat(acc["marked"], edge, glue)).otherwise(acc["marked"])
+        rest = F.when(room >= 1, F.substr(word, size + 1)).otherwise(word)
+        filled = F.concat(acc["done"], F.array(head), _pieces(rest, width))
+        return F.when(F.length(spaced) <= width, rec(done=acc["done"], cur=spaced, marked=F.concat(acc["marked"], edge, glue, word))) \
+            .when(F.length(word) > width, rec(done=F.slice(filled, F.lit(1), F.size(filled) - 1), cur=F.element_at(filled, -1), marked=F.element_at(filled, -1))) \
+            .otherwise(rec(done=F.concat(acc["done"], F.array(acc["marked"])), cur=word, marked=word))
+
+    folded = F.aggregate(_chunks(col), rec(done=none, cur=F.lit(""), marked=F.lit("")), step,
+                         lambda acc: F.concat(acc["done"], F.array(acc["marked"])))
+
+    def shown(marked):
+        all_lines = F.transform(marked, lambda t: F.replace(t, F.lit(_EDGE), F.lit("")))
         above = F.slice(all_lines, 1, lines - 1)
-        over = F.element_at(above, -1)
+        over = F.rtrim(F.element_at(above, -1))
 
         def ending(parts):
             # The last kept line gives up pieces until the ellipsis fits; if it has
             # none left, the line above carries the ellipsis.
-            prefixes = F.filter(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.ltrim(F.array_join(F.transform(
-                F.slice(parts, F.lit(1), F.size(parts) - k), lambda c: F.concat(c["g"], c["w"])), ""))), lambda t: F.length(t) < width)
+            prefixes = F.filter(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(
+                F.slice(parts, F.lit(1), F.size(parts) - k), "")), lambda t: F.length(t) < width)
             return let(prefixes, lambda p: F.when(F.size(p) > 0, F.concat(above, F.array(F.concat(F.get(p, F.lit(0)), F.lit("…")))))
                        .when(F.length(over) < width, F.concat(F.slice(above, F.lit(1), F.size(above) - 1), F.array(F.concat(over, F.lit("…")))))
                        .otherwise(F.concat(above, F.array(F.lit("…")))))
 
-        cut = let(_chunks(F.element_at(F.slice(all_lines, 1, lines), -1)), ending)
+        cut = let(F.split(F.element_at(F.slice(marked, 1, lines), -1), _EDGE), ending)
         return F.array_join(F.when(F.size(all_lines) <= lines, all_lines).otherwise(cut), "\n")
 
     return F.when(F.length(flat) <= width, flat).otherwise(let(folded, shown))
