@@ -512,6 +512,17 @@ def _(spark, sf_dir):
     return W.stream_status(W.ready_prefix(_windows(spark, sf_dir)))
 
 
+@query("w06_stream_status_stream", V.with_lines(WIN_SQL + "SELECT vid, ready_ms, duration_ms, complete AS done, ready_ms > 0 AS playable, ready_ms >= 5000 AS offered FROM pre"))
+def _(spark, sf_dir):
+    from ..streaming.status import status_table
+    base = f"{shared_folder(spark)}/status-{uuid.uuid4().hex}"
+    windows = _windows(spark, sf_dir)
+    done = windows.where("done").select("vid", "window_no", "until_ms")
+    done.repartition(4, F.xxhash64("vid", "window_no")).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return status_table(stream, windows.groupBy("vid").agg(F.max("until_ms").alias("duration_ms")), base)
+
+
 def _positions(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("vid"), V.epoch_s(F.col("ts")).alias("ts_s"), (F.col("value") - 5).alias("at_s"))
 

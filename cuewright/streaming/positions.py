@@ -2,21 +2,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.library import latest_position
+from .keyed import KeyedTable
 
 
-def latest_position_table(positions: DataFrame, folder: str) -> DataFrame:
-    """Run the stream to its end; each micro-batch appends its winners as a new version.
-
-    Versions are folded on read: latest-wins over latest-wins is latest-wins, so
-    a batch that is written twice after a failure changes nothing.
-    """
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        best = batch.groupBy("vid").agg(F.max_by(F.struct("at_s", "ts_s", "event_id"), F.struct("ts_s", "event_id")).alias("x"))
-        best.select("vid", "x.*").write.mode("overwrite").parquet(f"{folder}/table/epoch={epoch}")
-
-    positions.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/state") \
-        .trigger(availableNow=True).start().awaitTermination()
-    return latest_position(positions.sparkSession.read.parquet(f"{folder}/table"))
+def latest_position_table(positions: DataFrame, folder: str, *, buckets: int = 16) -> DataFrame:
+    """Run the stream to its end into a table with a row per viewer, however many batches there were."""
+    table = KeyedTable(positions.sparkSession, f"{folder}/table", positions.schema, ("vid",), ("ts_s", "event_id"), buckets=buckets)
+    return latest_position(table.run(positions, f"{folder}/state"))
