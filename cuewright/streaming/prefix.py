@@ -2,14 +2,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class _Prefix(StatefulProcessor):
-    """Keeps what waits beyond a gap; everything up to the gap has been published."""
+    """Keeps what waits beyond a gap; everything up to the gap has been published, and a whole video is forgotten."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "no BIGINT")
@@ -17,7 +18,10 @@ class _Prefix(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         due = self.next.get()[0] if self.next.exists() else 0
+        last = None
         for batch in rows:
+            if "windows" in batch and batch["windows"].notna().any():
+                last = int(batch["windows"].max())
             for no, until in zip(batch["window_no"], batch["until_ms"]):
                 if no >= due:
                     self.waiting.updateValue((int(no),), (int(until),))
@@ -26,22 +30,38 @@ class _Prefix(StatefulProcessor):
             ready = self.waiting.getValue((due,))[0]
             self.waiting.removeKey((due,))
             due += 1
-        if ready is not None:
+        if last is not None and due >= last:
+            self.next.clear()
+            self.waiting.clear()
+        elif ready is not None:
             self.next.update((due,))
+        if ready is not None:
             yield pd.DataFrame({"vid": [key[0]], "ready_ms": [ready]})
 
     def close(self) -> None:
         pass
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """The state store that ``prefix_stream`` needs, for streams started inside; the session's own is set again."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def prefix_stream(finished: DataFrame) -> DataFrame:
     """(vid, ready_ms) each time a video's watchable part grows. finished: vid, window_no, until_ms.
 
-    Needs the RocksDB state store, which also keeps the state off the heap.
+    With a column ``windows``, the number of windows of the video, its state ends with the batch that completes
+    it; a window that comes again after that may be published again, so a reader takes the largest ready_ms.
+    A repeated window changes nothing before. Needs the RocksDB state store (``state_on_disk``), which also
+    keeps the state off the heap.
     """
-    spark = finished.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     vid = finished.schema["vid"].dataType.simpleString()
     return finished.groupBy("vid").transformWithStateInPandas(
         _Prefix(), outputStructType=f"vid {vid}, ready_ms BIGINT", outputMode="Append", timeMode="None")

@@ -56,3 +56,26 @@ def test_a_stream_that_is_started_again_goes_on(spark, tmp_path):
     assert run() == {1: (40, 10), 2: (0, 10)} == run()
     say([(1, 5, 3, 99.0), (2, 11, 4, 7.5)])
     assert run() == {1: (40, 10), 2: (75, 11)}
+
+
+def test_the_state_of_a_whole_video_ends(spark, tmp_path):
+    from cuewright.streaming.prefix import prefix_stream, state_on_disk
+
+    schema, provider = "vid string, window_no long, until_ms long, windows long", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        with state_on_disk(spark):
+            q = prefix_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")) \
+                .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        out = spark.read.parquet(str(tmp_path / "out"))
+        return {r.vid: r.m for r in out.groupBy("vid").agg({"ready_ms": "max"}).toDF("vid", "m").collect()}, q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    got, rows = run([("v1", 0, 10, 3), ("v1", 2, 30, 3), ("v2", 1, 20, 2), ("v3", 0, 10, 1)])
+    assert got == {"v1": 10, "v3": 10} and rows > 0  # what waits, and where v1 is, are kept over the restart
+    got, rows = run([("v1", 1, 20, 3), ("v1", 0, 10, 3), ("v2", 0, 10, 2)])
+    assert got == {"v1": 30, "v2": 20, "v3": 10} and rows == 0
+    assert spark.conf.get(provider) == before
